@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.functions.citations import parse_citation
+from statuta.llm.names import map_names
 from statuta.llm.topn import top_n
+from statuta.operators.packed import split_packed
 from statuta.plans.runtime import read_table
 
 QUERIES = {}
@@ -37,3 +40,29 @@ FROM (SELECT query_id, citation, max(score) AS s FROM ranked_citation
 """
 ORACLES["p6_found"] = f"SELECT query_id, citation FROM ({_TOP}) WHERE position <= 5"
 ORACLES["p6_positions"] = f"SELECT query_id, citation, round(score, 6) AS score, position FROM ({_TOP}) WHERE position <= 5 AND query_id IN (SELECT query_id FROM pipeline_result)"
+
+
+def _statute_names(spark: SparkSession, d: str) -> DataFrame:
+    """``(test_id, entry_no, name)`` of every statute name typed in ``pre_citations`` and ``query``."""
+    test = read_table(spark, d, "test", "test_id", "query", "pre_citations")
+    items = split_packed(test.withColumn("src", F.lit("pre_citations")), "pre_citations", "src", ["test_id"])
+    cited = items.select("test_id", F.col("pos").alias("entry_no"), parse_citation(F.col("item"))["book"].alias("name"))
+    enclosed = F.regexp_extract_all("query", F.lit(r"«([^»]+)»|“([^”]+)”|„([^“”]+)[“”]|\"([^\"]+)\"|\(([^)]+)\)|\[([^\]]+)\]"), 0)
+    named = test.select("test_id", F.lit(0).cast("long").alias("entry_no"), F.get(enclosed, F.lit(0)).alias("n")).where("n IS NOT NULL")
+    return cited.unionByName(named.select("test_id", "entry_no", F.expr("substring(n, 2, length(n) - 2)").alias("name")))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The statute that each typed name means, or ``unmatched``."""
+    reference = read_table(spark, d, "domains", "book_code", "title", "book_description").toDF("code", "title", "name")
+    return map_names(_statute_names(spark, d), "name", ["test_id", "entry_no"], reference).withColumnRenamed("code", "book_code")
+
+
+@query
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The unmatched values with the number of times each was typed."""
+    names = _statute_names(spark, d)
+    reference = read_table(spark, d, "domains", "book_code", "title", "book_description").toDF("code", "title", "name")
+    out = map_names(names, "name", ["name"], reference).where("code = 'unmatched'")
+    return out.groupBy("name").agg(F.count("*").alias("n"))
