@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions.citations import parse_citation
 from statuta.llm.names import map_names
+from statuta.llm.pairs import find_defects
 from statuta.llm.topn import top_n
 from statuta.operators.packed import split_packed
 from statuta.plans.runtime import read_table
@@ -66,3 +67,22 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     reference = read_table(spark, d, "domains", "book_code", "title", "book_description").toDF("code", "title", "name")
     out = map_names(names, "name", ["name"], reference).where("code = 'unmatched'")
     return out.groupBy("name").agg(F.count("*").alias("n"))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    test = read_table(spark, d, "test", "test_id", "query", "german_translation", "decomposed_queries_raw")
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("fld"), F.col(c).alias("answer"), F.lit(c == "decomposed_queries_raw").alias("is_object")) for c in ("german_translation", "decomposed_queries_raw")])).alias("a")
+    return test.select(F.col("test_id").alias("id"), "query", both).select("id", "query", "a.*")
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each broken answer with its defect: the first in the order of the rules."""
+    found = find_defects(_answers(spark, d), read_table(spark, d, "common_words"))
+    return found.where("priority = 0").select(F.col("id").alias("test_id"), "fld", "defect")
+
+
+@query
+def p5_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every defect that any rule finds, counted per field."""
+    return find_defects(_answers(spark, d), read_table(spark, d, "common_words")).groupBy("fld", "defect").agg(F.count("*").alias("n"))
