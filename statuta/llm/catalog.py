@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from statuta.functions.citations import parse_citation
 from statuta.llm.names import map_names
 from statuta.llm.pairs import find_defects
+from statuta.llm.quality import document_kind, text_statistics
 from statuta.llm.topn import top_n
 from statuta.operators.packed import split_packed
 from statuta.plans.runtime import read_table
@@ -86,3 +87,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_all(spark: SparkSession, d: str) -> DataFrame:
     """Every defect that any rule finds, counted per field."""
     return find_defects(_answers(spark, d), read_table(spark, d, "common_words")).groupBy("fld", "defect").agg(F.count("*").alias("n"))
+
+
+def _statistics(spark: SparkSession, d: str) -> DataFrame:
+    return text_statistics(read_table(spark, d, "documents", "doc_id", "text"), read_table(spark, d, "common_words", "word"))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are no natural prose, with their kind."""
+    return _statistics(spark, d).select("doc_id", document_kind().alias("kind")).where("kind IS NOT NULL")
+
+
+@query
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every document."""
+    ratios = ("mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share")
+    return _statistics(spark, d).select("doc_id", "word_count", *[F.round(c, 6).alias(c) for c in ratios])
