@@ -65,7 +65,7 @@ def _char_classes() -> np.ndarray:
             out[cp] = 2
     for ch in "|~^¦§¬":
         out[ord(ch)] = 5
-    for ch in "{}[]<>":
+    for ch in "{}[]<":
         out[ord(ch)] = 6
     for cp in range(0x370, 0x400):  # unassigned places of the Greek block count as its letters
         out[cp] = 4
