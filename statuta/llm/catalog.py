@@ -10,6 +10,7 @@ from statuta.llm.names import map_names
 from statuta.llm.pairs import find_defects
 from statuta.llm.quality import document_kind, text_statistics
 from statuta.llm.topn import top_n
+from statuta.llm.vectors import nearest, pairs
 from statuta.operators.packed import split_packed
 from statuta.plans.runtime import read_table
 
@@ -104,3 +105,20 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     """The statistics of every document."""
     ratios = ("mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share")
     return _statistics(spark, d).select("doc_id", "word_count", *[F.round(c, 6).alias(c) for c in ratios])
+
+
+_COLLECTIONS = {"laws_db": ("law_id", "embedding"), "test_sub_query_zembed": ("sub_row_id", "zembed_embedding")}
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of most similar vectors of both collections."""
+    parts = [pairs(nearest(read_table(spark, d, t, i, v), i, v)).select(F.lit(t).alias("collection"), "id_a", "id_b") for t, (i, v) in _COLLECTIONS.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest laws of every law whose id is divisible by 100, among all laws."""
+    near = nearest(read_table(spark, d, "laws_db", "law_id", "embedding"), "law_id", "embedding")
+    return near.where("id % 100 = 0").select(F.col("id").alias("law_id"), "other", "cos")
