@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.functions.citations import parse_citation
+from statuta.llm.mixing import mix, source_name
 from statuta.llm.names import map_names
+from statuta.llm.packing import pack
 from statuta.llm.pairs import find_defects
 from statuta.llm.quality import document_kind, text_statistics
+from statuta.llm.tokens import count_tokens
 from statuta.llm.topn import top_n
 from statuta.llm.vectors import nearest, pairs
 from statuta.operators.packed import split_packed
@@ -122,3 +125,48 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest laws of every law whose id is divisible by 100, among all laws."""
     near = nearest(read_table(spark, d, "laws_db", "law_id", "embedding"), "law_id", "embedding")
     return near.where("id % 100 = 0").select(F.col("id").alias("law_id"), "other", "cos")
+
+
+def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
+    rows = read_table(spark, d, "pack_sizes", "pack_name", "capacity_tokens").where("pack_name IS NOT NULL AND capacity_tokens > 0").orderBy("pack_name").limit(100).collect()
+    return {r["pack_name"]: r["capacity_tokens"] for r in rows}
+
+
+@query
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in containers of each capacity: three plans, each with one capacity."""
+    docs = read_table(spark, d, "documents", "doc_id", "text")
+    plans = {n: [c] for n, c in _capacities(spark, d).items()}
+    return pack(count_tokens(docs, "text", ["doc_id"]), plans, docs.count()).withColumnRenamed("plan", "pack_name")
+
+
+@query
+def p7_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text once, in the smallest capacity that holds it or in the gap of a larger container."""
+    docs = read_table(spark, d, "documents", "doc_id", "text")
+    return pack(count_tokens(docs, "text", ["doc_id"]), {"all": list(_capacities(spark, d).values())}, docs.count()).drop("plan")
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = read_table(spark, d, "documents", "doc_id", "text", "source")
+    targets = read_table(spark, d, "mix_targets", "source", "target_share", "max_repeats")
+    wanted = F.broadcast(targets.select(source_name(F.col("source")).alias("s")).distinct())  # at most MOST_SOURCES names
+    docs = docs.withColumn("s", source_name(F.col("source"))).join(wanted, "s", "left_semi").withColumn("chars", F.length("text"))
+    docs = docs.withColumn("identity", F.concat_ws("-", F.xxhash64("text").cast("string"), F.hash("text").cast("string"), F.col("chars").cast("string")))
+    sized = count_tokens(docs, "text", ["doc_id", "source", "identity", "chars"])
+    # characters per token: low for noise and encoded data, high for one sign over and over, three to five for prose
+    usual = F.col("chars") / F.greatest("tokens", F.lit(1))
+    weight = F.when(usual > 9, 0.05).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.05), (usual - 1.2) / 2)))
+    return mix(sized.withColumn("weight", weight), targets)
+
+
+@query
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen texts with their repeats."""
+    return _mix(spark, d)[0]
+
+
+@query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the total that each source really has."""
+    return _mix(spark, d)[1].withColumns({c: F.round(c, 6) for c in ("target_share", "actual_share")})
