@@ -42,7 +42,7 @@ def parse_decisions(raw: Column) -> Column:
     @F.pandas_udf("struct<decisions: map<string, string>, diagnostic: string>")
     def parse(texts: pd.Series) -> pd.DataFrame:
         got = [read_decisions(t) for t in texts]
-        return pd.DataFrame({"decisions": [list(d.items()) for d, _ in got], "diagnostic": [x for _, x in got]})
+        return pd.DataFrame({"decisions": [d for d, _ in got], "diagnostic": [x for _, x in got]})
 
     return parse(raw)
 

@@ -33,8 +33,8 @@ def dense_top_k(queries: DataFrame, query: str, query_vector: str, corpus: DataF
     q = queries.select(F.col(query).cast("string").alias("q"), F.col(query_vector).alias("v")).where(F.col("q").isNotNull() & usable(F.col("v"), dim))
     c = corpus.select(F.col(item).cast("string").alias("c"), F.col(item_vector).alias("v")).where(F.col("c").isNotNull() & usable(F.col("v"), dim))
     nq, nc = max(1, ceil(queries.count() / QUERY_BLOCK)), max(1, ceil(corpus.count() / CORPUS_BLOCK))
-    left = q.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(nq)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("b"))
-    right = c.select("c", "v", F.pmod(F.xxhash64("c"), F.lit(nc)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long").alias("a"))
+    left = q.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("long").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("b"))
+    right = c.select("c", "v", F.pmod(F.xxhash64("c"), F.lit(nc)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("a"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []

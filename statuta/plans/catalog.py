@@ -86,8 +86,8 @@ def _ranked(s: SparkSession, d: str, n: int | None = None) -> DataFrame:
 
 _RANKED = f"SELECT query_id, citation, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation DESC) AS rank FROM ({_SCORED}) WHERE score IS NOT NULL"
 
-_UNIT = lambda c: f"list_transform({c}::DOUBLE[], x -> x / greatest(sqrt(list_dot_product({c}::DOUBLE[], {c}::DOUBLE[])), 1e-12))"
-_FINE = lambda c: f"({c} IS NOT NULL AND len({c}) = 64 AND len(list_filter({c}, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter({c}, x -> x <> 0)) > 0)"
+_UNIT = lambda c: f"list_transform({c}::DOUBLE[], lambda x: x / greatest(sqrt(list_dot_product({c}::DOUBLE[], {c}::DOUBLE[])), 1e-12))"
+_FINE = lambda c: f"({c} IS NOT NULL AND len({c}) = 64 AND len(list_filter({c}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter({c}, lambda x: x <> 0)) > 0)"
 _LAWS_V = f"SELECT citation, {_UNIT('embedding')} AS v FROM laws_db WHERE citation IS NOT NULL AND {_FINE('embedding')}"
 _SUBS_V = f"SELECT sub_row_id, query_id, {_UNIT('zembed_embedding')} AS v FROM test_sub_query_zembed WHERE {_FINE('zembed_embedding')}"
 
@@ -208,8 +208,8 @@ def rebuilt_corpus(s, d):
 
 @query()
 def law_edges(s, d):
-    laws = read_table(s, d, "laws_db", "citation", "document")
-    return ex.law_edges(laws, "citation", "document", ex.citation_lookup(laws, "citation"))
+    docs = read_table(s, d, "documents", "citation", "text").where(F.col("citation").startswith("Art."))
+    return ex.law_edges(docs, "citation", "text", ex.citation_lookup(read_table(s, d, "laws_db", "citation"), "citation"))
 
 
 @query()
@@ -394,11 +394,11 @@ _BOOK_OF = f"regexp_extract(citation, '{_FORM}', 3)"
 _BOOK_SEEDS = f"SELECT query_id, {_BOOK_OF} AS book, sum(score) AS score FROM ({_RANKED}) WHERE rank <= 10 AND regexp_matches(citation, '{_FORM}') GROUP BY 1, 2"
 
 
-@query(f"SELECT query_id, book, round(sum(part), 6) AS score FROM (SELECT query_id, book, score AS part FROM ({_BOOK_SEEDS}) UNION ALL SELECT b.query_id, n.dst, 0.25 * b.score * n.weight FROM ({_BOOK_SEEDS}) b JOIN ({_NETWORK}) n ON n.src = b.book) GROUP BY 1, 2")
+@query(f"SELECT query_id, book, round(sum(part), 9) AS score FROM (SELECT query_id, book, score AS part FROM ({_BOOK_SEEDS}) UNION ALL SELECT b.query_id, n.dst, 0.25 * b.score * n.weight FROM ({_BOOK_SEEDS}) b JOIN ({_NETWORK}) n ON n.src = b.book) GROUP BY 1, 2")
 def network_expand(s, d):
     head = _ranked(s, d, 10).withColumn("book", t.citation_book(F.col("citation"))).where("book IS NOT NULL")
     seeds = head.groupBy("query_id", "book").agg(F.sum("score").alias("score"))
-    return co.spread(seeds, ["query_id"], "book", [_network(s, d)], 0.25).select("query_id", "book", r6("score"))
+    return co.spread(seeds, ["query_id"], "book", [_network(s, d)], 0.25).select("query_id", "book", "score")
 
 
 # ---------------------------------------------------------------- dense
@@ -512,7 +512,7 @@ def _court_refs(s, d):
 
 
 _BAG = "SELECT test_id::VARCHAR AS court, trim(x) AS citation FROM (SELECT test_id, unnest(string_split(gold_citations, ';')) AS x FROM test) WHERE trim(x) <> ''"
-_MEAN_V = f"SELECT query_id, list_transform(l, x -> x / n) AS v FROM (SELECT query_id, list(m ORDER BY pos) AS l, greatest(sqrt(sum(m * m)), 1e-12) AS n FROM ({_MEANS}) GROUP BY 1)"
+_MEAN_V = f"SELECT query_id, list_transform(l, lambda x: x / n) AS v FROM (SELECT query_id, list(m ORDER BY pos) AS l, greatest(sqrt(sum(m * m)), 1e-12) AS n FROM ({_MEANS}) GROUP BY 1)"
 _NEAR = _dense(_MEAN_V, "query_id", f"SELECT test_id::VARCHAR AS court, {_UNIT('zembed_full_german_query')} AS v FROM test WHERE {_FINE('zembed_full_german_query')}", "court", 20)
 
 
@@ -521,9 +521,9 @@ def near_courts(s, d):
     return _near(s, d)
 
 
-@query(f"SELECT n.query_id, b.citation, round(sum(n.cos) / ln(1 + max(g.degree)), 6) AS score FROM ({_NEAR}) n JOIN ({_BAG}) b USING (court) JOIN (SELECT citation, count(*) AS degree FROM ({_BAG}) GROUP BY 1) g USING (citation) GROUP BY 1, 2")
+@query(f"SELECT n.query_id, b.citation, round(sum(n.cos) / ln(1 + max(g.degree)), 9) AS score FROM ({_NEAR}) n JOIN ({_BAG}) b USING (court) JOIN (SELECT citation, count(*) AS degree FROM ({_BAG}) GROUP BY 1) g USING (citation) GROUP BY 1, 2")
 def court_path_score(s, d):
-    return cr.court_path(_near(s, d), "court", _court_refs(s, d)).select("query_id", "citation", r6("score"))
+    return cr.court_path(_near(s, d), "court", _court_refs(s, d)).select("query_id", "citation", "score")
 
 
 _DF = f"SELECT item AS citation, ln((SELECT count(DISTINCT doc) FROM ({_GOLD}))::DOUBLE / count(*)) AS w FROM ({_GOLD}) GROUP BY 1"
@@ -539,7 +539,7 @@ def _mm(sql: str, w: float) -> str:
 
 
 _SIG = lambda c: f"SELECT query_id, citation, {c} AS score FROM ({_SCORED}) WHERE {c} IS NOT NULL"
-_BLEND = f"SELECT query_id, citation, round(sum(part), 6) AS score FROM ({_mm(_SIG('lexical_score'), 0.32)} UNION ALL {_mm(_SIG('graph_score'), 0.48)} UNION ALL {_mm(_SIG('rrf_score'), 0.2)}) GROUP BY 1, 2"
+_BLEND = f"SELECT query_id, citation, round(sum(part), 9) AS score FROM ({_mm(_SIG('lexical_score'), 0.32)} UNION ALL {_mm(_SIG('graph_score'), 0.48)} UNION ALL {_mm(_SIG('rrf_score'), 0.2)}) GROUP BY 1, 2"
 
 
 def _signal(s, d, c):
@@ -552,7 +552,7 @@ def _blend(s, d):
 
 @query(_BLEND)
 def signal_blend(s, d):
-    return _blend(s, d).select("query_id", "citation", r6("score"))
+    return _blend(s, d)
 
 
 @query(f"""SELECT query_id, citation, round(s.score + 0.3 * coalesce(p.part, 0), 6) AS score FROM (SELECT query_id, citation, score FROM ({_RANKED})) s LEFT JOIN ({_mm(_SIG('graph_score'), 1.0)}) p USING (query_id, citation)""")
@@ -689,7 +689,7 @@ def confirm_removals(s, d):
     return dec.confirm_removals(*_votes(s, d), ["query_id", "citation"])
 
 
-_GOLDQ = "SELECT query_id, list_distinct(list_filter(list_transform(string_split(min(gold_citations), ';'), x -> trim(x)), x -> starts_with(x, 'Art.'))) AS gold FROM test WHERE query_id IS NOT NULL GROUP BY 1"
+_GOLDQ = "SELECT query_id, list_distinct(list_filter(list_transform(string_split(min(gold_citations), ';'), lambda x: trim(x)), lambda x: starts_with(x, 'Art.'))) AS gold FROM test WHERE query_id IS NOT NULL GROUP BY 1"
 
 
 def _gold_by_query(s, d):
@@ -768,10 +768,10 @@ def resume_antijoin(s, d):
     return inc.todo(read_table(s, d, "test", "test_id", "query_id"), read_table(s, d, "pipeline_result", "query_id"), "query_id").select("test_id", "query_id")
 
 
-@query("SELECT query_id, citation, round(avg(score), 6) AS score FROM ranked_citation WHERE score IS NOT NULL AND NOT isnan(score) AND query_id IS NOT NULL AND citation IS NOT NULL GROUP BY 1, 2")
+@query("SELECT query_id, citation, round(avg(score), 9) AS score FROM ranked_citation WHERE score IS NOT NULL AND NOT isnan(score) AND query_id IS NOT NULL AND citation IS NOT NULL GROUP BY 1, 2")
 def score_variants(s, d):
     rows = read_table(s, d, "ranked_citation", "query_id", "citation", "score").where("score IS NOT NULL AND NOT isnan(score) AND query_id IS NOT NULL AND citation IS NOT NULL")
-    return rr.merge_variants(rows).select("query_id", "citation", r6("score"))
+    return rr.merge_variants(rows).select("query_id", "citation", F.round("score", 9).alias("score"))
 
 
 @query("SELECT result_id, query_id, macro_f1 FROM pipeline_result WHERE result_id >= 100 AND result_id < 300")
@@ -779,7 +779,7 @@ def row_range(s, d):
     return inc.rows_between(read_table(s, d, "pipeline_result", "result_id", "query_id", "macro_f1"), "result_id", 100, 300)
 
 
-@query(f"SELECT query_id, citation, rank FROM (SELECT query_id, citation, row_number() OVER (PARTITION BY query_id ORDER BY l, at, citation) AS rank FROM (SELECT query_id, citation, min(l) AS l, arg_min(at, l) AS at FROM (SELECT query_id, citation, 0 AS l, rank AS at FROM ({_by('graph_score', 3)}) UNION ALL SELECT query_id, citation, 1, rank FROM ({_by('score', 10)})) GROUP BY 1, 2))")
+@query(f"SELECT query_id, citation, rank FROM (SELECT query_id, citation, row_number() OVER (PARTITION BY query_id ORDER BY l, p, citation) AS rank FROM (SELECT query_id, citation, min(l) AS l, arg_min(p, l) AS p FROM (SELECT query_id, citation, 0 AS l, rank AS p FROM ({_by('graph_score', 3)}) UNION ALL SELECT query_id, citation, 1, rank FROM ({_by('score', 10)})) GROUP BY 1, 2))")
 def ordered_union(s, d):
     return sc.ordered_union([_by_df(s, d, "graph_score", 3), _by_df(s, d, "score", 10)], ["query_id"], "citation", "rank").select("query_id", "citation", F.col("rank").cast("long").alias("rank"))
 
