@@ -110,6 +110,20 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _statistics(spark, d).select("doc_id", "word_count", *[F.round(c, 6).alias(c) for c in ratios])
 
 
+@query
+def p9_words(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of words only."""
+    return _statistics(spark, d).select("doc_id", "word_count", *[F.round(c, 9).alias(c) for c in ("mean_word_length", "common_word_share")])
+
+
+ORACLES["p9_words"] = r"""
+SELECT d.doc_id, coalesce(n, 0) AS word_count, round(coalesce(w.letters::DOUBLE / n, 0), 9) AS mean_word_length, round(coalesce(w.common::DOUBLE / n, 0), 9) AS common_word_share
+FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) AS n, sum(length(word)) AS letters, count(*) FILTER (word IN (SELECT lower(word) FROM common_words)) AS common
+  FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\pL+')) AS word FROM documents) GROUP BY 1) w USING (doc_id)
+"""
+
+
 _COLLECTIONS = {"laws_db": ("law_id", "embedding"), "test_sub_query_zembed": ("sub_row_id", "zembed_embedding")}
 
 
