@@ -15,7 +15,7 @@ SAMPLE = 8_192
 #: Length of the ordered pivot list that stands for a vector.
 PREFIX = 8
 #: A vector is posted under so many of its nearest pivots.
-POSTINGS = 4
+POSTINGS = 3
 #: Members of a pivot's list handled in one task; longer lists are cut into blocks, and every query visits all of them.
 LIST = 20_000
 #: Candidates by footrule distance, of each list, that are compared exactly.
@@ -45,7 +45,7 @@ def choose_pivots(rows: DataFrame, dim: int, total: int) -> tuple[np.ndarray, np
     drawn = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     sample = np.unique(_unit(_matrix(drawn, dim)).round(6), axis=0) if len(drawn) else np.zeros((0, dim))
     sample = sample[np.random.default_rng(7).permutation(len(sample))].astype(np.float32)
-    pivots = sample[: max(1, min(SAMPLE // 2, ceil(1.5 * sqrt(total))))]
+    pivots = sample[: max(1, min(SAMPLE // 2, ceil(1.2 * sqrt(total))))]
     if not len(pivots):
         return pivots, np.zeros(0)
     lists = np.argsort(-(sample @ pivots.T), axis=1, kind="stable")[:, :POSTINGS]
