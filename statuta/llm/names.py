@@ -183,7 +183,8 @@ def map_names(df: DataFrame, value: str, keep: list[str], reference: DataFrame)
     names = rows.select(F.explode(F.array("__head", "__tail")).alias("name")).where("name <> ''").distinct()
     hits = search(names, reference)
     least = hits.groupBy("name").agg(F.min(F.struct("edits")).alias("m"), F.collect_set(F.struct("edits", "code")).alias("all"))
-    best = least.select("name", F.filter("all", lambda x: x["edits"] == F.col("m.edits"))["code"].alias("codes"))
+    # a name written exactly is no decoy, even if the trie of another block holds it as one
+    best = least.select("name", F.filter("all", lambda x: (x["edits"] == F.col("m.edits")) & ((x["edits"] > 0) | (x["code"] != "")))["code"].alias("codes"))
     best = best.select("name", F.when((F.size("codes") == 1) & (F.col("codes")[0] != ""), F.col("codes")[0]).alias("code")).where("code IS NOT NULL")
     one, two = (best.select(F.col("name").alias(n), F.col("code").alias(c)) for n, c in (("__head", "__c1"), ("__tail", "__c2")))
     out = rows.join(one, "__head", "left").join(two, "__tail", "left")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of the longest sentence that can be a refusal.
+LONGEST_REFUSAL = 600
 ORDER = ("empty", "refusal", "copy", "language", "truncated")
 
 # What stands for nothing, and how a model declines in four languages.
@@ -45,7 +47,8 @@ def unwrap(text: str) -> tuple[str, bool]:
         m = _LABEL.match(t[:100])
         if m and len(m.group().split()) <= 8 and _LABEL_WORDS.search(m.group()):
             t = t[m.end() :].strip()
-        t = re.sub(r"\s*\((?:german|deutsch|allemand|tedesco)\)\s*$", "", t, flags=re.I)
+        if t.endswith(")") and (m := re.search(r"(?i)\((?:german|deutsch|allemand|tedesco)\)$", t[-20:])):
+            t = t[: -len(m.group())].rstrip()
         if len(t) >= 2 and t[0] in _QUOTES and t[-1] == _QUOTES[t[0]]:
             t = t[1:-1].strip()
         elif t in _QUOTES:
@@ -56,15 +59,17 @@ def unwrap(text: str) -> tuple[str, bool]:
 
 
 def is_nothing(text: str) -> bool:
-    bare = re.sub(r"^[\s\[\](){}<>*_.…\"'«»“”„`-]+|[\s\[\](){}<>*_.…\"'«»“”„`-]+$", "", text.replace("​", "").replace("﻿", "")).lower()
+    bare = text.replace("\u200b", "").replace("\ufeff", "").strip("[](){}<>*_.…\"'«»“”„`- \t\r\n\u00a0").lower()
     return bare in PLACEHOLDERS or not re.search(r"\w", bare)
 
 
 def is_refusal(text: str) -> bool:
-    """A refusal is what the answer says, not what somebody says in it: it opens the answer or makes up most of it."""
+    """A refusal is what the answer says, not what somebody says in it: its first sentence declines, no longer than
+    ``LONGEST_REFUSAL``, and not much follows."""
     t = text.replace("’", "'")
-    first = re.match(r".*?[.!?](?=\s|$)|.*", t, re.S).group()
-    return len(t) < 2 * len(first) + 200 and bool(REFUSALS.search(first))
+    end = re.search(r"[.!?](?=\s|$)", t)
+    first = t[: end.end()] if end else t
+    return len(first) <= LONGEST_REFUSAL and len(t) < 2 * len(first) + 200 and bool(REFUSALS.search(first))
 
 
 def copies(query: str, text: str) -> bool:
@@ -89,7 +94,9 @@ def foreign(text: str, words: dict[str, set[str]], target: str) -> bool:
 
 
 def breaks_off(text: str, open_: bool) -> bool:
-    t = re.sub(r"\s*\([^()]{1,20}\)\s*$", "", text).rstrip() or text.rstrip()
+    t = text.rstrip()
+    if m := re.search(r"\([^()]{1,20}\)$", t[-22:]):  # a note behind the end
+        t = t[: -len(m.group())].rstrip() or t
     if open_ or t.endswith(("…", "...", "..")):
         return True
     t = t.rstrip("»”“\"'›*_)] ")
