@@ -12,7 +12,7 @@ from statuta.functions.text import NOISE_BOOKS, book_candidates, citation_parts,
 # The written forms of citations.
 ARTICLE, TOKEN, PARAGRAPH = r"(?:[Aa]rt(?:ikel)?\.?)", r"\d+[a-z]?(?:bis|ter|quater)?", r"(?:Abs\.?|Absatz|al\.?|cpv\.?)"
 LETTER = r"(?:\s*(?:lit\.?|Bst\.?|Ziff\.?)\s*[a-z0-9]+(?:bis)?)?"
-BOOK = r"[A-ZÄÖÜ][A-Za-zÄÖÜäöü]{0,15}\d{0,3}"
+BOOK = rf"(?!(?i:{'|'.join(NOISE_BOOKS)})\b)[A-ZÄÖÜ][A-Za-zÄÖÜäöü]{{0,15}}\d{{0,3}}"
 EXPLICIT = rf"\b{ARTICLE}\s*({TOKEN})(?:\s*{PARAGRAPH}\s*({TOKEN}))?{LETTER}\s+({BOOK})"
 LISTED = rf"\b{ARTICLE}\s*({TOKEN})\s*{PARAGRAPH}\s*({TOKEN}(?:\s*(?:,|und|oder|et|-|–|\bbis\b)\s*{TOKEN})+){LETTER}\s+({BOOK})"
 REPEATED = rf"\b{ARTICLE}\s*({TOKEN})((?:\s*{PARAGRAPH}\s*{TOKEN}{LETTER}\s*(?:,|und|oder|et)?){{2,8}})\s+({BOOK})"
@@ -51,9 +51,7 @@ def resolve(found: DataFrame, lookup: DataFrame) -> DataFrame:
 
 def explicit_laws(df: DataFrame, keep: list[str], text: str, lookup: DataFrame) -> DataFrame:
     """``keep, pos, citation``: known statute citations in the order they stand."""
-    found = mentions(df, keep, text, EXPLICIT, ["art", "abs", "book"])
-    found = found.where(~F.upper(F.regexp_replace("book", r"\d+$", "")).isin(*NOISE_BOOKS))
-    return _resolved(found, keep, lookup)
+    return _resolved(mentions(df, keep, text, EXPLICIT, ["art", "abs", "book"]), keep, lookup)
 
 
 def _resolved(found: DataFrame, keep: list[str], lookup: DataFrame) -> DataFrame:
@@ -81,7 +79,7 @@ def all_laws(df: DataFrame, key: str, text: str, lookup: DataFrame, aliases: Dat
     if aliases is not None:
         named = mentions(df, [key], text, NAMED, ["art", "abs", "name"]).withColumn("alias", law_name(F.col("name")))
         parts.append(prefix_match(named, "alias", aliases).withColumn("pass", F.lit(4)).select(key, "pass", "pos", "art", "abs", "book"))
-    found = reduce(DataFrame.unionByName, parts).where(~F.upper(F.regexp_replace("book", r"\d+$", "")).isin(*NOISE_BOOKS))
+    found = reduce(DataFrame.unionByName, parts)
     known = resolve(found, lookup).where("citation IS NOT NULL")
     first = known.groupBy(key, "citation").agg(F.min(F.struct("pass", "pos")).alias("at"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("at", "citation"))).drop("at")

@@ -50,8 +50,8 @@ def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_procedural_books(spark: SparkSession, path: str) -> DataFrame:
     """``book``: the lines inside the fences of a markdown file, without comments, batch heads and the prefix ``proc``."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)```\w*\n(.*?)```"), F.lit(1))).alias("block"))
-    line = lines.select(F.trim(F.explode(F.split("block", r"\r?\n"))).alias("line")).where("line <> ''")
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)```\w*\n(.*?)```"), F.lit(1))).alias("block"))
+    line = lines.select(F.explode(F.split("block", r"\r?\n")).alias("line")).select(F.trim("line").alias("line")).where("line <> ''")
     named = line.where(~F.col("line").startswith("#") & ~F.lower("line").startswith("batch"))
     return named.select(F.trim(F.regexp_replace("line", r"(?i)^proc\s+", "")).alias("book")).distinct()
 
