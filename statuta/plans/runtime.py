@@ -4,12 +4,31 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once a session, wherever it is installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_statuta_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(), "statuta.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in sorted(os.walk(root)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("statuta", os.path.relpath(path, root)))
+    sc.addPyFile(archive)  # the driver serves it to the executors
+    sc._statuta_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Parquet table ``name`` of ``sf_dir``; with ``columns``, only these are read."""
+    ship_package(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
