@@ -328,6 +328,8 @@ def document_kind() -> Column:
     ruined = (c("foreign") > 0.15 * c("letters")) | ((c("odd") > 0.06 * c("visible")) & ~(several & (c("piped") > 0.5 * c("lines"))))
     over_again = ((c("sentences") >= 3) & (c("repeated") >= 0.5 * c("sentences"))) | ((c("tokens") >= 8) & (c("repeated_tokens") >= 0.5 * c("tokens")))
     prose = (c("sentences") >= 1) & ((c("items") <= 2) | (c("items") <= 2 * c("sentences")) | (c("prose_share") >= 0.75))
+    # scanning breaks the ends of sentences in running text, which has frequent words all the same
+    damaged = ~several & (c("odd") > 0) & (c("common") >= 0.2 * c("words")) & (c("words") > 0)
     markup = ((c("tags") > 0.5 * c("lines")) & (c("cells") < 0.5 * c("tags"))) | (c("code") > 0.4 * c("lines"))
     table = (several & (cells >= 0.5 * c("lines"))) | ((c("lines") >= 3) & (c("labels") >= 0.6 * c("lines")))
     unreadable = (
@@ -336,5 +338,5 @@ def document_kind() -> Column:
     )
     listed = several | (c("items") >= 3)
     return (
-        F.when(c("visible") == 0, None).when(ruined | over_again, "junk").when(prose, None).when(markup, "junk").when(table, "table").when(unreadable, "junk").when(listed, "list")
+        F.when(c("visible") == 0, None).when(ruined | over_again, "junk").when(prose | damaged, None).when(markup, "junk").when(table, "table").when(unreadable, "junk").when(listed, "list")
     )
