@@ -135,7 +135,7 @@ def seed_similarity(candidates: DataFrame, seeds: DataFrame, laws: DataFrame, ho
 def most_cited(refs: DataFrame, books: DataFrame, n: int) -> DataFrame:
     """``citation, degree``: the ``n`` most cited laws of the given books."""
     degree = refs.groupBy("citation").agg(F.count("*").alias("degree")).withColumn("book", F.element_at(F.split("citation", " "), -1))
-    return degree.join(F.broadcast(books.select("book").distinct().limit(10_000)), "book", "left_semi").orderBy(F.col("degree").desc(), "citation").limit(n).drop("book")
+    return degree.join(books.select("book").distinct(), "book", "left_semi").orderBy(F.col("degree").desc(), "citation").limit(n).drop("book")
 
 
 def book_prior(scores: DataFrame, laws: DataFrame, candidates: int, books: int, weight: float) -> DataFrame:

@@ -55,3 +55,11 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {missing}; have {df.columns}")
     return df
+
+
+def bounded_rows(df: DataFrame, most: int) -> list:
+    """All rows of a small table on the driver; more than ``most`` are an error, never cut off."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows where a small table is expected")
+    return rows
