@@ -15,7 +15,7 @@ from statuta.llm.tokens import count_tokens
 from statuta.llm.topn import top_n
 from statuta.llm.vectors import nearest, pairs
 from statuta.operators.packed import split_packed
-from statuta.plans.runtime import read_table
+from statuta.plans.runtime import bounded_rows, read_table
 
 QUERIES = {}
 ORACLES = {}
@@ -142,7 +142,7 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
-    rows = read_table(spark, d, "pack_sizes", "pack_name", "capacity_tokens").where("pack_name IS NOT NULL AND capacity_tokens > 0").orderBy("pack_name").limit(100).collect()
+    rows = bounded_rows(read_table(spark, d, "pack_sizes", "pack_name", "capacity_tokens").where("pack_name IS NOT NULL AND capacity_tokens > 0").orderBy("pack_name"), 100)
     return {r["pack_name"]: r["capacity_tokens"] for r in rows}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.plans.runtime import materialise
+from statuta.plans.runtime import bounded_rows, materialise
 
 #: Ranges of keys whose sizes are summed before single texts are looked at.
 RANGES = 4_096
@@ -44,7 +44,7 @@ def mix(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     negative share is 0, a null number of repeats 1; empty tables give no rows.
     """
     goal = targets.where(F.col("source").isNotNull()).select(source_name(F.col("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("most"))
-    plan = {r["source"]: (r["share"], r["most"]) for r in goal.groupBy("source").agg(F.sum("share").alias("share"), F.max("most").alias("most")).limit(MOST_SOURCES).collect()}
+    plan = {r["source"]: (r["share"], r["most"]) for r in bounded_rows(goal.groupBy("source").agg(F.sum("share").alias("share"), F.max("most").alias("most")), MOST_SOURCES)}
     if not plan:
         raise ValueError("no targets")
     rows = texts.select("doc_id", source_name(F.col("source")).alias("source"), "identity", F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"))

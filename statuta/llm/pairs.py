@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statuta.plans.runtime import bounded_rows
+
 #: Characters of the longest sentence that can be a refusal.
 LONGEST_REFUSAL = 600
 ORDER = ("empty", "refusal", "copy", "language", "truncated")
@@ -163,7 +165,7 @@ def find_defects(pairs: DataFrame, words: DataFrame, target: str = "de", list_ke
     empty, a null query can't be copied; repeated rows stay; further columns are left out.
     """
     known: dict[str, set[str]] = {}
-    for r in words.where("lang IS NOT NULL AND word IS NOT NULL").select(F.lower("lang").alias("lang"), F.lower("word").alias("word")).distinct().limit(10_000).collect():
+    for r in bounded_rows(words.where("lang IS NOT NULL AND word IS NOT NULL").select(F.lower("lang").alias("lang"), F.lower("word").alias("word")).distinct(), 10_000):
         known.setdefault(r["lang"], set()).add(r["word"])
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statuta.plans.runtime import bounded_rows
+
 #: Documents longer than this many characters are cut into chunks of about this length.
 CHUNK = 32_768
 #: A cut falls on the last line break or space of so many characters before it, if there is one.
@@ -303,7 +305,7 @@ def text_statistics(docs: DataFrame, words: DataFrame, chunk: int = CHUNK) -> Da
     Null and empty texts count as zero everywhere (ratios 0); null doc_ids are kept as they are for short texts and left
     out for long ones; repeated texts are measured each; other columns are left out.
     """
-    known = sorted({r[0] for r in words.where("word IS NOT NULL").select(F.lower("word")).distinct().limit(10_000).collect()})
+    known = sorted({r[0] for r in bounded_rows(words.where("word IS NOT NULL").select(F.lower("word")).distinct(), 10_000)})
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     size = F.coalesce(F.length("text"), F.lit(0))
     short = docs.where(size <= chunk).mapInArrow(_partial(known, False), _SUM_SCHEMA)
