@@ -48,12 +48,18 @@ ORACLES["p6_found"] = f"SELECT query_id, citation FROM ({_TOP}) WHERE position <
 ORACLES["p6_positions"] = f"SELECT query_id, citation, round(score, 6) AS score, position FROM ({_TOP}) WHERE position <= 5 AND query_id IN (SELECT query_id FROM pipeline_result)"
 
 
+# Single marks stand alone: with a letter or digit before the first or after the last they are apostrophes, and so are those
+# between two letters or digits inside.
+_SINGLE = "|".join(rf"(?<![\pL\pN]){a}[^{z}]++(?:(?<=[\pL\pN])[{z}](?=[\pL\pN])[^{z}]++)*+[{z}](?![\pL\pN])" for a, z in (("'", "'"), ("‘", "’"), ("‚", "‘’"), ("‹", "›")))
+_ENCLOSED = r"«([^»]+)»|“([^”]+)”|„([^“”]+)[“”]|\"([^\"]+)\"|\(([^)]+)\)|\[([^\]]+)\]|" + _SINGLE
+
+
 def _statute_names(spark: SparkSession, d: str) -> DataFrame:
     """``(test_id, entry_no, name)`` of every statute name typed in ``pre_citations`` and ``query``."""
     test = read_table(spark, d, "test", "test_id", "query", "pre_citations")
     items = split_packed(test.withColumn("src", F.lit("pre_citations")), "pre_citations", "src", ["test_id"])
     cited = items.select("test_id", F.col("pos").alias("entry_no"), parse_citation(F.col("item"))["book"].alias("name"))
-    enclosed = F.regexp_extract_all("query", F.lit(r"«([^»]+)»|“([^”]+)”|„([^“”]+)[“”]|\"([^\"]+)\"|\(([^)]+)\)|\[([^\]]+)\]"), 0)
+    enclosed = F.regexp_extract_all("query", F.lit(_ENCLOSED), 0)
     named = test.select("test_id", F.lit(0).cast("long").alias("entry_no"), F.get(enclosed, F.lit(0)).alias("n")).where("n IS NOT NULL")
     return cited.unionByName(named.select("test_id", "entry_no", F.expr("substring(n, 2, length(n) - 2)").alias("name")))
 

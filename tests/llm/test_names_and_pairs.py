@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from statuta.llm import names as n
 from statuta.llm import pairs as p
+from statuta.llm.catalog import QUERIES
 
 WORDS = {"de": {"die", "der", "das", "und", "nicht", "für", "ist"}, "en": {"the", "of", "and", "to", "is"}, "fr": {"la", "le", "de", "et", "pour"}, "it": {"la", "il", "di", "e", "per"}}
 
@@ -51,6 +52,24 @@ def test_names(spark):
     assert {r["code"] for r in n.map_names(df, "v", ["id"], ref.limit(0)).collect()} == {"unmatched"}
 
 
+MARKED = ["«{}»", "“{}”", "„{}“", '"{}"', "({})", "[{}]", "'{}'", "‘{}’", "‚{}‘", "‚{}’", "‹{}›"]
+
+
+def test_statutes_named_in_queries(spark, tmp_path):
+    """One row for the name in each kind of mark, matched or not; apostrophes set off nothing."""
+    named = [(m, name, want) for m in MARKED for name, want in (("Torfabbuaverordnung", "TorV"), ("Drachenhortgesetz", "unmatched"))]
+    queries = [f"The owner's deposit of CHF 1'781 can't follow from {m.format(name)}, say the buyers' heirs." for m, name, _ in named]
+    queries += ["Does 'Loi sur l'eau' apply?", "Does ‘Loi sur l’eau’ apply?"]
+    want = {(i, w) for i, w in enumerate([w for _, _, w in named] + ["EauL", "EauL"])}
+    plain = ["The sum of CHF 1'781 and CHF 2'000'000 can't be disputed.", "The tenants' and the owner's claims, and the heirs' share.", "The tenants’ and the owner’s claims don’t end."]
+    rows = [(i, q, None) for i, q in enumerate(queries + plain)]
+    spark.createDataFrame(rows, "test_id long, query string, pre_citations string").write.parquet(f"{tmp_path}/test.parquet")
+    ref = [(c, t, e) for c, t, e in REFERENCE if c and t] + [("EauL", "Loi sur l'eau", None)]
+    spark.createDataFrame(ref, "book_code string, title string, book_description string").write.parquet(f"{tmp_path}/domains.parquet")
+    out = QUERIES["p3_found"](spark, str(tmp_path)).collect()
+    assert len(out) == len(want) and {(r["test_id"], r["book_code"]) for r in out} == want and {r["entry_no"] for r in out} == {0}
+
+
 def test_reference_list_in_blocks(spark, monkeypatch):
     ref = spark.createDataFrame(REFERENCE, "code string, title string, name string")
     df = spark.createDataFrame([("Torfabbuaverordnung",), ("Snow Clearance Act",)], "v string")
