@@ -1,4 +1,4 @@
-"""Most similar vectors for every vector, by a permutation index."""
+"""Most similar vectors for every vector, by inverted files of pivots."""
 
 from __future__ import annotations
 
@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 #: Pivots are drawn from a sample of at most so many vectors (the first by hash); at most half as many are used.
 SAMPLE = 8_192
-#: Length of the ordered pivot list that stands for a vector.
-PREFIX = 8
+#: No two pivots are nearer than this cosine: a dense group has one list, which holds all of it, however many of its
+#: vectors were drawn.
+APART = 0.80
 #: A vector is posted under so many of its nearest pivots.
 POSTINGS = 3
-#: Members of a pivot's list handled in one task; longer lists are cut into blocks, and every query visits all of them.
+#: Members, and queries, of a pivot's list handled in one task; longer lists are cut into blocks, and each pair of blocks
+#: is compared.
 LIST = 20_000
-#: Candidates by footrule distance, of each list, that are compared exactly.
-CANDIDATES = 48
+#: Comparisons held at once in a task.
+AT_ONCE = 4_000_000
 
 
 def usable(df: DataFrame, id_col: str, vector: str, dim: int) -> DataFrame:
@@ -45,16 +47,21 @@ def choose_pivots(rows: DataFrame, dim: int, total: int) -> tuple[np.ndarray, np
     drawn = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     sample = np.unique(_unit(_matrix(drawn, dim)).round(6), axis=0) if len(drawn) else np.zeros((0, dim))
     sample = sample[np.random.default_rng(7).permutation(len(sample))].astype(np.float32)
-    pivots = sample[: max(1, min(SAMPLE // 2, ceil(1.2 * sqrt(total))))]
-    if not len(pivots):
+    pivots, n = np.zeros((max(1, min(SAMPLE // 2, ceil(1.2 * sqrt(total)))), dim), np.float32), 0
+    for x in sample:
+        if n < len(pivots) and not (pivots[:n] @ x >= APART).any():
+            pivots[n] = x
+            n += 1
+    pivots = pivots[:n]
+    if not n:
         return pivots, np.zeros(0)
     lists = np.argsort(-(sample @ pivots.T), axis=1, kind="stable")[:, :POSTINGS]
     return pivots, np.bincount(lists.ravel(), minlength=len(pivots)) / max(1, lists.size)
 
 
 def _post(pivots: np.ndarray, blocks: np.ndarray, dim: int):
-    """Posts each vector, with its permutation, under its nearest pivots. In a list of several blocks it is a member of
-    one and a query in all."""
+    """Posts each vector under its nearest pivots. A list of several blocks has a task for each pair of them, ``block`` =
+    members' block * blocks + queries' block; a vector goes where its own block is either."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,67 +69,55 @@ def _post(pivots: np.ndarray, blocks: np.ndarray, dim: int):
                 b = batch.slice(at, 4_096)
                 ids, v = b.column("id").to_numpy(zero_copy_only=False), _matrix(b.column("v"), dim)
                 near = _unit(v).astype(np.float32) @ pivots.T
-                k = min(PREFIX, len(pivots))
-                part = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                order = np.argsort(-np.take_along_axis(near, part, 1), axis=1, kind="stable")
-                perm = np.take_along_axis(part, order, 1).astype(np.uint16)
-                if k < PREFIX:
-                    perm = np.pad(perm, ((0, 0), (0, PREFIX - k)), constant_values=np.uint16(65535))
-                who, cell, block, member = [], [], [], []
-                for j in range(min(POSTINGS, k)):
-                    c = perm[:, j].astype(np.int64)
+                k = min(POSTINGS, len(pivots))
+                cells = np.argpartition(-near, k - 1, axis=1)[:, :k].astype(np.int64)
+                raw = pa.array([x.tobytes() for x in np.ascontiguousarray(v, dtype=np.float32)], pa.binary())
+                for j in range(k):
+                    c = cells[:, j]
                     own = (ids * 0x9E3779B1 >> 16) % blocks[c]
-                    for q in range(int(blocks[c].max()) if len(c) else 0):
-                        rows = np.flatnonzero(blocks[c] > q)
-                        who.append(rows)
-                        cell.append(c[rows])
-                        block.append(np.full(len(rows), q))
-                        member.append(own[rows] == q)
-                rows = np.concatenate(who) if who else np.zeros(0, int)
-                binary = lambda m: pa.array([x.tobytes() for x in m], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(block).astype(np.int32)), pa.array(np.concatenate(member)), pa.array(ids[rows]),
-                        binary(perm).take(pa.array(rows)), binary(np.ascontiguousarray(v, dtype=np.float32)).take(pa.array(rows)),
-                    ],
-                    names=["cell", "block", "member", "id", "perm", "v"],
-                )
+                    for other in range(int(blocks[c].max()) if len(c) else 0):
+                        for member in (True, False):
+                            # where both blocks are the vector's own, it is sent once, as both
+                            rows = np.flatnonzero((blocks[c] > other) & (member | (own != other)))
+                            block = own[rows] * blocks[c[rows]] + other if member else other * blocks[c[rows]] + own[rows]
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    pa.array(c[rows].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(rows), member)),
+                                    pa.array(own[rows] == other if member else np.full(len(rows), True)), pa.array(ids[rows]), raw.take(pa.array(rows)),
+                                ],
+                                names=["cell", "block", "member", "query", "id", "v"],
+                            )
 
     return kernel
 
 
 def _search(k: int, least: float, dim: int):
-    """Within one list: rank the members for each query by footrule distance of the permutations, then compare the best
-    exactly."""
+    """The ``k`` best members for each query of one task, all compared: in single precision first, then exactly those
+    that its error can't rule out."""
 
     def kernel(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        raw = lambda name, kind, width: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind).reshape(-1, width)
-        perm, v = raw("perm", np.uint16, PREFIX), raw("v", np.float32, dim)
-        member = np.flatnonzero(table.column("member").to_numpy())
-        exact = _unit(v)
+        exact = _unit(np.frombuffer(b"".join(table.column("v").to_pylist()), dtype=np.float32).reshape(-1, dim))
         unit = exact.astype(np.float32)
-        terms, local = np.unique(perm, return_inverse=True)
-        local = local.reshape(perm.shape)
-        weight = np.zeros((len(terms), len(member)), dtype=np.uint8)
-        for i in range(PREFIX):
-            weight[local[member, i], np.arange(len(member))] = PREFIX - i
-        if terms[-1] == 65535:
-            weight[-1] = 0
-        c = min(CANDIDATES, len(member))
+        member, query = (np.flatnonzero(table.column(n).to_numpy()) for n in ("member", "query"))
+        place = np.full(len(ids), -1)
+        place[member] = np.arange(len(member))
+        members = np.ascontiguousarray(unit[member].T)
         q_out, x_out, s_out = [], [], []
-        for at in range(0, len(ids) if c else 0, 512):
-            q = np.arange(at, min(at + 512, len(ids)))
-            # footrule distance = constant - 2 * sum over pivots of the smaller of both weights
-            score = np.zeros((len(q), len(member)), dtype=np.uint8)
-            for i in range(PREFIX):
-                score += np.minimum(weight[local[q, i]], np.uint8(PREFIX - i))
-            best = np.argpartition(score, len(member) - c, axis=1)[:, len(member) - c :]
-            x = member[best]
-            cos = np.einsum("qd,qcd->qc", unit[q], unit[x])
-            a, b = np.nonzero((cos >= least - 1e-4) & (x != q[:, None]))
-            qi, xi = q[a], x[a, b]
-            s = np.round(np.einsum("nd,nd->n", exact[qi], exact[xi]), 6)
+        step = max(1, min(512, AT_ONCE // max(1, len(member))))
+        for at in range(0, len(query) if len(member) else 0, step):
+            q = query[at : at + step]
+            cos = unit[q] @ members
+            both = np.flatnonzero(place[q] >= 0)
+            cos[both, place[q[both]]] = -2
+            floor = np.full(len(q), least - 1e-4, np.float32)
+            many = np.flatnonzero((cos >= floor[:, None]).sum(axis=1) > 8 * k)
+            if len(many):
+                floor[many] = np.maximum(floor[many], np.partition(cos[many], len(member) - k, axis=1)[:, len(member) - k] - 2e-5)
+            a, b = np.nonzero(cos >= floor[:, None])
+            qi, xi = q[a], member[b]
+            s = np.concatenate([np.zeros(0)] + [np.einsum("nd,nd->n", exact[qi[i : i + 65_536]], exact[xi[i : i + 65_536]]) for i in range(0, len(qi), 65_536)])
+            s = np.round(s, 6)
             fine = s >= least
             qi, xi, s = qi[fine], xi[fine], s[fine]
             order = np.lexsort((ids[xi], -s, qi))
@@ -142,11 +137,11 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, least: float =
     """``(id, other, cos)``: the ``k`` most similar others of every usable vector, cosine (6 decimals) at least
     ``least``, ties by smaller id.
 
-    Permutation index: a vector stands for the ordered list of its nearest pivots. It is posted, with this list, in the
-    inverted files of the first few; each file is searched for all its vectors at once, ranked by footrule distance,
-    and the best are compared exactly. The pivots come from a bounded sample, so the broadcast is at most 1 MB; their
-    number grows with the root of the rows, and dense regions get more of them, so the files stay even. Exact copies
-    are searched once, as one class, and get their answers back afterwards: they can't crowd a file.
+    A vector is posted in the inverted files of its few nearest pivots, and in each file every vector is compared with
+    every other, in blocks of bounded size. The pivots come from a bounded sample, so the broadcast is at most 1 MB;
+    their number grows with the root of the rows. They keep a distance from one another, so a dense group lies in one
+    file whole; the work is quadratic in its size. Exact copies are searched once, as one class, and get their answers
+    back afterwards: they can't crowd a file.
     Vectors of other lengths, with null, NaN or infinite numbers or all zero take no part; ids must be unique; extra
     columns are left out; an empty table gives no rows. With fewer than ``k`` others in reach, all of them.
     """
@@ -158,7 +153,7 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, least: float =
         return spark.createDataFrame([], "id long, other long, cos double")
     blocks = np.maximum(1, np.ceil(share * total * POSTINGS / LIST)).astype(np.int64)
     one = rows.groupBy("v").agg(F.min("id").alias("id"))
-    posted = one.mapInArrow(_post(pivots, blocks, dim), "cell int, block int, member boolean, id long, perm binary, v binary")
+    posted = one.mapInArrow(_post(pivots, blocks, dim), "cell int, block int, member boolean, query boolean, id long, v binary")
     hits = posted.groupBy("cell", "block").applyInArrow(_search(k, least, dim), "q long, x long, cos double")
 
     keyed = rows.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))

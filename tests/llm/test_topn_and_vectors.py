@@ -72,6 +72,21 @@ def test_neighbours_recall(spark, monkeypatch):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
 
 
+@pytest.mark.parametrize("size", [20_000, 300])
+def test_dense_group_of_a_third_of_the_rows(spark, monkeypatch, size):
+    monkeypatch.setattr(vectors, "LIST", size)
+    ids, m = clustered(2, 2_000)
+    r = np.random.default_rng(3)
+    group = (r.normal(size=16) * 4 + r.normal(size=(1_000, 16))).astype(np.float32).astype(np.float64)
+    ids, m = [*ids, *range(5_001, 6_001)], np.vstack([m, group])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, m)], "id long, v array<float>")
+    got = {tuple(r) for r in pairs(nearest(df, "id", "v", 5, 0.9, 16)).collect()}
+    want = truth(ids, m, 5, 0.9)
+    dense = {p for p in want if p[0] > 5_000}
+    assert len(dense) > 2_000 and len(got & dense) >= 0.99 * len(dense)
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(got)
+
+
 def test_copies_are_exact(spark):
     rows = [(i, [1.0, 0.0, 0.5]) for i in range(1, 31)] + [(100, [1.0, 0.0, 0.5001]), (200, [0.0, 1.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, v array<float>")
