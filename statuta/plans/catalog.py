@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions import text as t
 from statuta.functions import vectors as v
+from statuta.functions.citations import citation_key, parse_citation
 from statuta.operators import cooccurrence as co
 from statuta.operators import decisions as dec
 from statuta.operators import evaluation as ev
@@ -18,6 +19,7 @@ from statuta.operators import scores as sc
 from statuta.operators import selection as sel
 from statuta.operators.dense import dense_rrf, dense_top_k
 from statuta.operators.diversify import mmr
+from statuta.operators.packed import split_packed
 from statuta.plans import court_retrieval as cr
 from statuta.plans import law_cascade as lc
 from statuta.plans import problems
@@ -68,6 +70,17 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
     return g.edges(_law_refs(s, d), "src", "dst", read_table(s, d, "laws_db", "citation"))
 
 
+def _whole_edges(s: SparkSession, d: str) -> DataFrame:
+    """Edges by every hand-kept reference, however spelled, to every spelling of its citation; ``_edges`` takes the
+    canonical form only, as the SQL does."""
+    laws = read_table(s, d, "laws_db", "citation", "references")
+    key = lambda c: F.when(parse_citation(c).isNotNull(), citation_key(parse_citation(c)))
+    items = split_packed(laws.where("citation IS NOT NULL").withColumn("field", F.lit("references")), "references", "field", ["citation"])
+    refs = items.select(F.col("citation").alias("src"), key(F.col("citation")).alias("own"), key(F.col("item")).alias("k")).distinct()
+    known = laws.select(F.col("citation").alias("dst"), key(F.col("citation")).alias("k")).where("k IS NOT NULL").distinct()
+    return g.edges(refs.where("own IS NULL OR own <> k").join(known, "k"), "src", "dst")
+
+
 def _scored(s: SparkSession, d: str) -> DataFrame:
     """One row per query and citation with finite scores, the best of each."""
     rc = read_table(s, d, "ranked_citation", "query_id", "citation", "score", "lexical_score", "rrf_score", "graph_score")
@@ -495,7 +508,7 @@ def law_cascade(s, d):
     head = ranked.withColumn("book", t.citation_book(F.col("citation"))).where("book IS NOT NULL AND rank <= 10")
     near = head.select("query_id", F.col("book").alias("domain"), "book", (1.0 / F.col("rank")).alias("cos"), "rank")
     network = lc.book_scores(lc.book_seeds(near, "query_id"), books, "query_id", [_network(s, d)])
-    return lc.law_cascade(ranked, "query_id", exact, books, network, _edges(s, d), _conf(s, d), _tfidf(s, d), lc.CascadeConfig(per_subquery=50)).select("query_id", "citation", "rank", r6("score"))
+    return lc.law_cascade(ranked, "query_id", exact, books, network, _whole_edges(s, d), _conf(s, d), _tfidf(s, d), lc.CascadeConfig(per_subquery=50)).select("query_id", "citation", "rank", r6("score"))
 
 
 # ---------------------------------------------------------------- courts
@@ -581,7 +594,7 @@ def book_pool(s, d):
 
 @query()
 def reference_expand(s, d):
-    links = sc.ranks(_edges(s, d), ["src"], F.col("dst"), name="place")
+    links = sc.ranks(_whole_edges(s, d), ["src"], F.col("dst"), name="place")
     return sel.expand_first_parent(_ranked(s, d, 20).select("query_id", "citation", "score"), ["query_id"], "citation", "score", links, 0.5, 2, 5).select("query_id", "citation", r6("score"))
 
 

@@ -8,6 +8,7 @@ from statuta.operators import cooccurrence as co
 from statuta.operators import graph as g
 from statuta.operators import lexical as lx
 from statuta.operators.dense import dense_rrf, dense_top_k, score_in_batches
+from statuta.plans import catalog
 
 
 def test_directions(spark):
@@ -104,3 +105,11 @@ def test_errors_become_rows(spark):
         raise RuntimeError("no model")
 
     assert score_in_batches(spark.range(2), boom, "id long, error string").collect()[0]["error"] == "no model"
+
+
+def test_edges_by_references_however_spelled(spark, tmp_path):
+    refs = "Artikel 2 Absatz 3 AbG; art.\u00a02 Abs.3 AbG; Art. 4 lit. a AbG; Art. 99 AbG; Art. 1 AbG"
+    rows = [("Art. 1 AbG", refs), ("Art. 2 Abs. 3 AbG", None), ("Art. 2  Abs. 3 AbG", ""), ("Art. 4 AbG", None), (None, "Art. 1 AbG")]
+    spark.createDataFrame(rows, "citation string, references string").write.parquet(f"{tmp_path}/laws_db.parquet")
+    got = {tuple(r) for r in catalog._whole_edges(spark, str(tmp_path)).collect()}
+    assert got == {("Art. 1 AbG", x) for x in ("Art. 2 Abs. 3 AbG", "Art. 2  Abs. 3 AbG", "Art. 4 AbG")}
