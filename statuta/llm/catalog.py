@@ -15,7 +15,7 @@ from statuta.llm.tokens import count_tokens
 from statuta.llm.topn import top_n
 from statuta.llm.vectors import nearest, pairs
 from statuta.operators.packed import split_packed
-from statuta.plans.runtime import bounded_rows, read_table
+from statuta.plans.runtime import bounded_rows, materialise, read_table
 
 QUERIES = {}
 ORACLES = {}
@@ -157,14 +157,14 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     """Every text in containers of each capacity: three plans, each with one capacity."""
     docs = read_table(spark, d, "documents", "doc_id", "text")
     plans = {n: [c] for n, c in _capacities(spark, d).items()}
-    return pack(count_tokens(docs, "text", ["doc_id"]), plans, docs.count()).withColumnRenamed("plan", "pack_name")
+    return pack(materialise(count_tokens(docs, "text", ["doc_id"])), plans).withColumnRenamed("plan", "pack_name")
 
 
 @query
 def p7_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Every text once, in the smallest capacity that holds it or in the gap of a larger container."""
     docs = read_table(spark, d, "documents", "doc_id", "text")
-    return pack(count_tokens(docs, "text", ["doc_id"]), {"all": list(_capacities(spark, d).values())}, docs.count()).drop("plan")
+    return pack(materialise(count_tokens(docs, "text", ["doc_id"])), {"all": list(_capacities(spark, d).values())}).drop("plan")
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -71,11 +71,11 @@ def _pack_share(pdf: pd.DataFrame) -> pd.DataFrame:
 _SCHEMA = "plan string, container long, capacity long, step long, doc_id long, piece long, first_token long, tokens long"
 
 
-def pack(sizes: DataFrame, plans: dict[str, list[int]], total: int) -> DataFrame:
+def pack(sizes: DataFrame, plans: dict[str, list[int]], total: int | None = None) -> DataFrame:
     """One row per text or piece: ``plan, container, capacity, step, doc_id, piece, first_token, tokens``.
 
     ``sizes``: ``doc_id``, ``tokens``; ``plans``: for each plan the capacities its containers may have; ``total``: about
-    how many rows ``sizes`` has. In every plan each text is put into exactly one container, whole; only a text longer
+    how many pieces a plan has; without it they are counted, for which ``sizes`` is read twice. In every plan each text is put into exactly one container, whole; only a text longer
     than the largest capacity is cut, into full pieces and a rest. A text is routed to the smallest tier that holds it,
     the tiers are packed from the longest on, gaps being filled from the shorter ones, and containers of one capacity
     are dealt into step groups of even load. Shares of about ``SHARE`` items, mixed by hash, are packed independently,
@@ -87,13 +87,16 @@ def pack(sizes: DataFrame, plans: dict[str, list[int]], total: int) -> DataFrame
     if bad or any(not caps for caps in plans.values()):
         raise ValueError("capacities must be positive")
     rows = sizes.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
-    shares = max(1, ceil(total / SHARE))
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("plan"), F.array(*[F.lit(c).cast("long") for c in sorted(caps)]).alias("caps")) for n, caps in plans.items()])).alias("p")
-    planned = rows.select("doc_id", "tokens", each).select("doc_id", "tokens", "p.plan", "p.caps").withColumn("most", F.array_max("caps"))
+    names = list(plans)
+    if total is None:
+        counted = rows.agg(*[F.sum(F.greatest(F.ceil(F.col("tokens") / max(plans[n])), F.lit(1))).alias(f"n{i}") for i, n in enumerate(names)]).first()
+    shares = {n: max(1, ceil((total if total is not None else counted[i] or 0) / SHARE)) for i, n in enumerate(names)}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("plan"), F.array(*[F.lit(c).cast("long") for c in sorted(caps)]).alias("caps"), F.lit(shares[n]).alias("shares")) for n, caps in plans.items()])).alias("p")
+    planned = rows.select("doc_id", "tokens", each).select("doc_id", "tokens", "p.plan", "p.caps", "p.shares").withColumn("most", F.array_max("caps"))
     pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("tokens") / F.col("most")) - 1, F.lit(0)).cast("long"))
     cut = planned.select("*", F.explode(pieces).alias("piece"))
     size: Column = F.least(F.col("most"), F.col("tokens") - F.col("piece") * F.col("most"))
-    items = cut.select("plan", "doc_id", "piece", (F.col("piece") * F.col("most")).alias("first_token"), F.greatest(size, F.lit(0)).alias("tokens"), "caps")
+    items = cut.select("plan", "doc_id", "piece", (F.col("piece") * F.col("most")).alias("first_token"), F.greatest(size, F.lit(0)).alias("tokens"), "caps", "shares")
     routed = items.withColumn("tier", F.filter("caps", lambda c: c >= F.col("tokens"))[0]).drop("caps")
-    shared = routed.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)))
+    shared = routed.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shares"))).drop("shares")
     return shared.groupBy("plan", "share").applyInPandas(_pack_share, _SCHEMA)

@@ -56,6 +56,18 @@ def test_packing_keeps_everything(spark, monkeypatch):
         pack(df, {"a": [0]}, 1)
 
 
+def test_shares_follow_the_pieces(spark, monkeypatch):
+    """Few texts of many pieces each: no task gets more than about SHARE pieces."""
+    monkeypatch.setattr(packing, "SHARE", 100)
+    df = spark.createDataFrame([(i, 512 * 200) for i in range(10)] + [(10, None)], "doc_id long, tokens long")
+    out = pack(df, {"short": [512], "long": [512 * 200]}).toPandas()
+    share = out.container.to_numpy() >> 32
+    short = (out.plan == "short").to_numpy()
+    assert len(np.unique(share[short])) >= 19 and np.bincount(share[short]).max() <= 150
+    assert short.sum() == 2_001 and (~short).sum() == 11 and (share[~short] == 0).all()
+    assert pack(df.limit(0), {"a": [8]}).count() == 0
+
+
 def texts(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, source string, identity string, tokens long, weight double")
 
