@@ -16,7 +16,7 @@ SAMPLE = 8_192
 #: vectors were drawn.
 APART = 0.80
 #: A vector is posted under so many of its nearest pivots.
-POSTINGS = 3
+POSTINGS = 4
 #: Members, and queries, of a pivot's list handled in one task; longer lists are cut into blocks, and each pair of blocks
 #: is compared.
 LIST = 20_000
@@ -47,7 +47,7 @@ def choose_pivots(rows: DataFrame, dim: int, total: int) -> tuple[np.ndarray, np
     drawn = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     sample = np.unique(_unit(_matrix(drawn, dim)).round(6), axis=0) if len(drawn) else np.zeros((0, dim))
     sample = sample[np.random.default_rng(7).permutation(len(sample))].astype(np.float32)
-    pivots, n = np.zeros((max(1, min(SAMPLE // 2, ceil(1.2 * sqrt(total)))), dim), np.float32), 0
+    pivots, n = np.zeros((max(1, min(SAMPLE // 2, ceil(1.5 * sqrt(total)))), dim), np.float32), 0
     for x in sample:
         if n < len(pivots) and not (pivots[:n] @ x >= APART).any():
             pivots[n] = x
