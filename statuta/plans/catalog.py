@@ -200,11 +200,15 @@ def law_mentions(s, d):
     return ex.explicit_laws(docs, ["doc_id"], "text", ex.citation_lookup(read_table(s, d, "laws_db", "citation"), "citation"))
 
 
+def _aliases(s, d):
+    titles = read_table(s, d, "domains", "domain_id", "title", "book_code").withColumn("o", F.regexp_extract("domain_id", r"(\d+)", 1).cast("int"))
+    return ex.name_aliases(titles, "title", "book_code", "o", ex.FIXED_NAMES)
+
+
 @query()
 def all_law_mentions(s, d):
     laws = read_table(s, d, "laws_db", "citation")
-    titles = read_table(s, d, "domains", "domain_id", "title", "book_code").withColumn("o", F.regexp_extract("domain_id", r"(\d+)", 1).cast("int"))
-    return ex.all_laws(read_table(s, d, "documents", "doc_id", "text"), "doc_id", "text", ex.citation_lookup(laws, "citation"), ex.name_aliases(titles, "title", "book_code", "o"))
+    return ex.all_laws(read_table(s, d, "documents", "doc_id", "text"), "doc_id", "text", ex.citation_lookup(laws, "citation"), _aliases(s, d))
 
 
 @query()
@@ -222,7 +226,7 @@ def rebuilt_corpus(s, d):
 @query()
 def law_edges(s, d):
     docs = read_table(s, d, "documents", "citation", "text").where(F.col("citation").startswith("Art."))
-    return ex.law_edges(docs, "citation", "text", ex.citation_lookup(read_table(s, d, "laws_db", "citation"), "citation"))
+    return ex.law_edges(docs, "citation", "text", ex.citation_lookup(read_table(s, d, "laws_db", "citation"), "citation"), _aliases(s, d))
 
 
 @query()

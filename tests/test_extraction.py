@@ -56,3 +56,12 @@ def test_rebuild_prune_edges_hints(spark):
     assert [r["citation"] for r in ex.query_hints(q, "q", "near", "pre", ["t"], corpus, "citation").orderBy("place").collect()] == ["Art. 9 BV", "Art. 41 OR", "Art. 1 Abs. 1 ZGB"]
     m = ex.query_mentions(q, "q", "t", ex.article_index(corpus, "citation")).orderBy("pos").collect()
     assert [(r["pre_citation"], r["near"]) for r in m] == [("Art. 1 Abs. 1 ZGB", ["Art. 1 Abs. 1 ZGB"]), ("Art. 9 BV", ["Art. 9 BV"])]
+
+
+def test_edges_by_name(spark):
+    titles = spark.createDataFrame([("Bundesgesetz über die Moorpflege (Moorgesetz, MoG) - Umwelt", "ZGB", 1)], "title string, code string, o int")
+    aliases = ex.name_aliases(titles, "title", "code", "o", ex.FIXED_NAMES)
+    assert {"MOORGESETZ", "MOORGESETZES"} <= {r["alias"] for r in aliases.collect()}
+    laws = spark.createDataFrame([("Art. 9 BV", "Siehe Art. 41 des Obligationenrechts, Art. 1 Abs. 1 des Moorgesetzes, Art. 51 der Drachenverordnung.")], "citation string, t string")
+    got = {(r["target"], r["kind"]) for r in ex.law_edges(laws, "citation", "t", lookup(spark), aliases).collect()}
+    assert got == {("Art. 41 OR", "named"), ("Art. 1 Abs. 1 ZGB", "named")}
