@@ -5,14 +5,29 @@ from statuta.operators import evaluation as ev
 from statuta.plans import rerank as rr
 
 
-def test_reading_answers():
-    assert d.read_decisions('```json\n[{"label": "a", "decision": "remove"}, {"label": "B", "decision": "MAYBE"}]\n```') == ({"A": "REMOVE"}, "")
-    got, why = d.read_decisions('{"label": "B", "decision": "KEEP"}')
-    assert got == {"B": "KEEP"} and "fallback" in why
-    got, why = d.read_decisions('[{"label": "A", "decision": "KEEP"},')
-    assert got == {"A": "KEEP"} and why.startswith("json_decode_error_regex_fallback")
-    assert d.read_decisions(None)[0] == {} and d.read_decisions("7") == ({}, "json_root_not_list")
-    assert d.read_decisions('[{"label": "A", "decision": "KEEP"}, {"label": "A", "decision": "REMOVE"}]')[0] == {"A": "REMOVE"}
+def test_reading_answers(spark):
+    raw = [
+        '```json\n[{"label": "a", "decision": "remove"}, {"label": "B", "decision": "MAYBE"}]\n```',
+        '{"label": "B", "decision": "KEEP"}',
+        '[{"label": "A", "decision": "KEEP"},',
+        None,
+        "7",
+        '[{"label": "A", "decision": "KEEP"}, {"label": "A", "decision": "REMOVE"}]',
+        'So: [1, {"label": " c ", "decision": "Keep"}, {"label": "", "decision": "KEEP"}, []] and so on',
+        '{"label": "A", "why": "x", "decision": "MAYBE"}, {"label": "B", "decision": "REMOVE"}, {"label": "E", "decision": "KEEP"}',
+        "",
+        "``` ```",
+        "[]",
+    ]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string")
+    got = [(dict(r["p"]["decisions"]), r["p"]["diagnostic"]) for r in df.select("i", d.parse_decisions(df["raw"]).alias("p")).orderBy("i").collect()]
+    assert got[0] == ({"A": "REMOVE"}, "")
+    assert got[1] == ({"B": "KEEP"}, "json_root_not_list_regex_fallback")
+    assert got[2] == ({"A": "KEEP"}, "json_decode_error_regex_fallback")
+    assert got[3] == ({}, "json_decode_error") and got[4] == ({}, "json_root_not_list")
+    assert got[5] == ({"A": "REMOVE"}, "") and got[6] == ({"C": "KEEP"}, "")
+    assert got[7] == ({"A": "REMOVE"}, "json_decode_error_regex_fallback")
+    assert got[8][0] == got[9][0] == {} and got[10] == ({}, "")
 
 
 def test_removals_need_two_votes(spark):

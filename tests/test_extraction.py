@@ -18,7 +18,7 @@ def test_lookup_makes_up_articles(spark):
 
 def test_explicit_and_fallback(spark):
     found = ex.explicit_laws(docs(spark, "Nach Art. 5 Abs. 2 BV und Art. 9 Abs. 7 BV2 sowie Art. 99 BV", None, ""), ["id"], "t", lookup(spark))
-    assert [r["citation"] for r in found.orderBy("pos").collect()] == ["Art. 5 Abs. 2 BV", "Art. 9 BV"]
+    assert [r["citation"] for r in found.orderBy("pos", "unit", "sub").collect()] == ["Art. 5 Abs. 2 BV", "Art. 9 BV"]
 
 
 def test_five_passes(spark):
@@ -65,3 +65,39 @@ def test_edges_by_name(spark):
     laws = spark.createDataFrame([("Art. 9 BV", "Siehe Art. 41 des Obligationenrechts, Art. 1 Abs. 1 des Moorgesetzes, Art. 51 der Drachenverordnung.")], "citation string, t string")
     got = {(r["target"], r["kind"]) for r in ex.law_edges(laws, "citation", "t", lookup(spark), aliases).collect()}
     assert got == {("Art. 41 OR", "named"), ("Art. 1 Abs. 1 ZGB", "named")}
+
+
+def test_forms_of_the_grammar(spark):
+    """Lettered lists, any number of paragraphs, long and two-word and numbered books, ordinals, no-break spaces."""
+    corpus = [(f"Art. {x}",) for x in ("5 Abs. 2 BV", "3 OR", "4 VO EU", "12 142.11", "8 Bundesgerichtsgesetz", "6 Abs. 2novies BV", "7 Abs. 1 BV", "19 BVG", "19a BVG", "20 BVG")] + [(f"Art. 9 Abs. {i} BV",) for i in range(1, 13)]
+    look = ex.citation_lookup(spark.createDataFrame(corpus, "citation string"), "citation")
+    many = "Art. 9 " + " und ".join(f"Abs. {i} lit. a" for i in range(1, 13)) + " BV"
+    texts = ["Art. 5 Abs. 2 lit. a und b BV", "Art. 3 Ziff. 2 lit. a OR", "Art. 4 VO EU.", "Art. 12 142.11", "nach Art. 8 Bundesgerichtsgesetz", "Art. 6 Abs. 2novies BV", "Artikel\u00a07\u00a0Absatz 1 BV", many, "Artikel 19, 19a und 20 BVG", "Art. 5 Absatz", "Art. 5 Abs. 2 Das"]
+    got = {}
+    for r in ex.explicit_laws(docs(spark, *texts), ["id"], "t", look).orderBy("id", "pos", "unit", "sub").collect():
+        got.setdefault(r["id"], []).append(r["citation"])
+    assert [got.get(i) for i in range(7)] == [[c[0]] for c in corpus[:7]]
+    assert got[7] == [c[0] for c in corpus[10:]] and got[8] == ["Art. 19 BVG", "Art. 19a BVG", "Art. 20 BVG"]
+    assert 9 not in got and 10 not in got
+
+
+def test_internal_and_foreign(spark):
+    laws = spark.createDataFrame([("Art. 9 BV", "Nach Artikel 5 Gebühren; siehe Art. 41, 42 und 43 OR sowie Artikel 5 Absatz 2."), (None, "Art. 41 OR"), ("BGE 1 II 3", "Art. 41 OR, Art. 5.")], "citation string, t string")
+    got = {(r["source"], r["target"], r["kind"], r["source_book"], r["target_book"]) for r in ex.law_edges(laws, "citation", "t", lookup(spark)).collect()}
+    assert got == {("Art. 9 BV", "Art. 5 BV", "internal", "BV", "BV"), ("Art. 9 BV", "Art. 5 Abs. 2 BV", "internal", "BV", "BV"), ("Art. 9 BV", "Art. 41 OR", "explicit", "BV", "OR"), ("BGE 1 II 3", "Art. 41 OR", "explicit", None, "OR")}
+    al = spark.createDataFrame([("DRACHENVERORDNUNG", "X")], "alias string, book string")
+    df = docs(spark, "Art. 1 der Flussverordnung, Art. 2 der Flussverordnung; Art. 1 der Drachenverordnung; " + "Art. 3 des " + "w " * 30_000)
+    assert [(r["alias"], r["n"]) for r in ex.unmatched_names(df, "t", al).collect() if len(r["alias"]) < 50] == [("FLUSSVERORDNUNG", 2)]
+
+
+def test_hint_columns_and_comparison(spark):
+    q = spark.createDataFrame([("q", "nach Art. 5 Abs. 1 lit. b BV, Art. 9 BV und Art. 9 BV"), ("r", None)], "q string, t string")
+    made = ex.pre_citation_columns(q, "q", "t", ex.article_index(spark.createDataFrame([(c,) for c in CORPUS], "citation string"), "citation"))
+    rows = {r["q"]: (r["pre_citations"], r["pre_near_matches"]) for r in made.collect()}
+    assert rows == {"q": ("Art. 5 Abs. 1 lit. b BV;Art. 9 BV", "Art. 5 Abs. 1 BV;Art. 5 Abs. 2 BV;Art. 5 Abs. 3 BV;Art. 9 BV"), "r": ("", "")}
+    expected = spark.createDataFrame([("q", "Art. 9 BV", None), ("r", "", ""), ("s", None, None)], "q string, pre_citations string, pre_near_matches string")
+    got = {r["q"]: (r["generated"], r["same_pre_citations"], r["same_pre_near_matches"]) for r in ex.compare_generated(expected, made, "q", ["pre_citations", "pre_near_matches"]).collect()}
+    assert got == {"q": (True, False, False), "r": (True, True, True), "s": (False, True, True)}
+    books = spark.createDataFrame([("BV",), ("OR",)], "book string")
+    hints = spark.createDataFrame([("q", "Art. 999 BV", "siehe Art. 1 cc und Art. 2 OR3")], "q string, a string, b string")
+    assert {r["book"] for r in ex.hinted_books(hints, "q", ["a"], ["b"], books).collect()} == {"BV", "OR"}
