@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +16,10 @@ from statuta.plans.runtime import bounded_rows
 
 #: Documents longer than this many characters are cut into chunks of about this length.
 CHUNK = 32_768
-#: A cut falls on the last line break or space of so many characters before it, if there is one.
-WINDOW = 256
 #: Chunks merged at once by one step of the tree.
 FAN_IN = 64
+#: Levels of the tree: a value has at most 2^31 bytes, 65,536 chunks, which is 64 * 64 * 16.
+LEVELS = 3
 
 #: What is counted: characters by class; words; lines by looks; segments (sentences or what stands in their place).
 SUMS = (
@@ -28,8 +29,8 @@ SUMS = (
 _AT = {n: i for i, n in enumerate(SUMS)}
 _CHARS = SUMS[:7]
 _LINE_FLAGS = SUMS[_AT["ended"] : _AT["code"] + 1]
-#: An open segment: its parts add up, and its last part says whether it was ended.
-_SEG = ("words", "visible", "common", "lines", "semicolons", "items", "cells", "ended")
+#: What is measured of a segment; of a cut one, its parts add up, and the last part says whether it was ended.
+_SEG = ("words", "visible", "common", "lines", "semicolons", "items", "cells", "ended", "leading_cells")
 
 _ENUMERATOR = r"(?m)^[ \t]*(?:\(?([0-9]{1,3}(?:\.[0-9]{1,3})*|[a-zA-Z]|[ivxIVX]{2,4})[.)]+|[0-9]+(?:\.[0-9]+)+|[-*•–·▪>])[ \t]+"
 #: Stands before a chunk that begins inside a line, where nothing is at the line's start.
@@ -43,7 +44,7 @@ _LINES = {
     "tabbed": r"\t.*\t|^\t|^\s*(?:[^\t]{4,}|[0-9']{3})\t",
     "piped": r"\|.*\||^[-+=|: ]{5,}$",
     "separated": r"^[^;]*;[^;\s]|^;|;;",
-    "columns": r"\S {2,}\S.* {2,}\S|\S {4,}\S",
+    "columns": r"\S {2,}\S.*\S {2,}\S|\S {2,}\S {2,}\S|\S {4,}\S",
     "cells": r"<t[dhr]\b",
     "labels": r"^\s*[\pL.]{2,20}: ?.{0,60}$",
     "commas": r"^[^,]*,[^,\s][^,]*,[^,\s]",
@@ -74,13 +75,40 @@ def _char_classes() -> np.ndarray:
     return out
 
 
-def _good(words: np.ndarray, common: np.ndarray, items: np.ndarray, cells: np.ndarray, ended: np.ndarray) -> np.ndarray:
+def _good(v: np.ndarray) -> np.ndarray:
     """A segment reads as a sentence: ended, of a sentence's length, with frequent words, without cells or entries."""
+    words, common, items, cells, ended = v[..., 0], v[..., 2], v[..., 5], v[..., 6] - v[..., 8], v[..., 7]
     return (ended > 0) & (words >= 4) & (words <= 80) & (common >= 1) & (common >= 0.08 * words) & (items <= 1) & (cells == 0)
 
 
-def _measure(texts: pa.Array, words: pa.Array, classes: np.ndarray, open_ends: bool) -> tuple[np.ndarray, ...]:
-    """Counts of each text. With ``open_ends``, the first and last segment and line are left open and come apart."""
+#: Hashes of cut tokens and segments are numbers modulo this prime, so that the hash of a whole comes from its parts.
+_PRIME = (1 << 61) - 31
+
+
+def _hash(text: str) -> tuple[int, int]:
+    """``(hash, length)`` of a text; see :func:`_and_then`."""
+    return int.from_bytes(text.encode("utf-32-be", "surrogatepass"), "big") % _PRIME, len(text)
+
+
+def _and_then(a: tuple[int, int], b: tuple[int, int]) -> tuple[int, int]:
+    return (a[0] * pow(2, 32 * b[1], _PRIME) + b[0]) % _PRIME, a[1] + b[1]
+
+
+def _line_flags(lines: pa.Array, there: np.ndarray) -> np.ndarray:
+    if not len(lines):
+        return np.zeros((0, len(_LINE_FLAGS)), bool)
+    return np.stack([pc.match_substring_regex(lines, _LINES[name]).to_numpy(zero_copy_only=False) & there for name in _LINE_FLAGS], axis=1)
+
+
+def _edges(parents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each part is the first, and the last, of its text."""
+    change = parents[1:] != parents[:-1]
+    return (np.r_[True, change], np.r_[change, True]) if len(parents) else (np.zeros(0, bool), np.zeros(0, bool))
+
+
+def _measure(texts: pa.Array, words: pa.Array, classes: np.ndarray, open_ends: bool) -> tuple[np.ndarray, list[dict]]:
+    """Counts of each text. With ``open_ends``, the first and last token, segment and line are left open and come apart,
+    as one state a text."""
     n = len(texts)
     texts = pc.fill_null(texts, "")
     sums = np.zeros((n, len(SUMS)))
@@ -89,22 +117,24 @@ def _measure(texts: pa.Array, words: pa.Array, classes: np.ndarray, open_ends: b
         sums[:, _AT[name]] += np.bincount(parents, weights=weights, minlength=n)[:n]
 
     chars = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    row = np.repeat(np.arange(n), pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+    size = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
     kind = classes[np.minimum(chars, 0x3000)]
-    by = np.bincount(row * 7 + kind, minlength=7 * n).reshape(n, 7)
+    by = np.bincount(np.repeat(np.arange(n), size) * 7 + kind, minlength=7 * n).reshape(n, 7)
     sums[:, _AT["visible"]] = by[:, 1:].sum(axis=1)
     for name, of in zip(_CHARS[1:], ((1, 4), (2,), (3, 5, 6), (5,), (4,), (6,))):
         sums[:, _AT[name]] = by[:, list(of)].sum(axis=1)
 
-    tokens = pc.utf8_split_whitespace(texts)
-    flat, parent = tokens.flatten(), pc.list_parent_indices(tokens).to_numpy()
-    some = pc.utf8_length(flat).to_numpy(zero_copy_only=False)
-    put("tokens", parent, some > 0)
-    put("long", parent, some * (some >= 40))
-    put("hex", parent, pc.match_substring_regex(flat, r"^\x04?[0-9a-f]{6,}$").to_numpy(zero_copy_only=False))
-    if len(flat) > 1:
-        same = pc.equal(flat.slice(1), flat.slice(0, len(flat) - 1)).to_numpy(zero_copy_only=False) & (parent[1:] == parent[:-1]) & (some[1:] > 0)
-        put("repeated_tokens", parent[1:], same)
+    tokens = pc.split_pattern_regex(texts, r"[\s\x0b\x1c-\x1f\x{85}\pZ]+")
+    token, tp = tokens.flatten(), pc.list_parent_indices(tokens).to_numpy()
+    tfirst, tlast = _edges(tp)
+    tclosed = ~(tfirst | tlast) if open_ends else np.ones(len(token), bool)
+    some = pc.utf8_length(token).to_numpy(zero_copy_only=False) * tclosed
+    put("tokens", tp, some > 0)
+    put("long", tp, some * (some >= 40))
+    put("hex", tp, pc.match_substring_regex(token, _HEX).to_numpy(zero_copy_only=False) & tclosed)
+    if len(token) > 1:
+        same = pc.equal(token.slice(1), token.slice(0, len(token) - 1)).to_numpy(zero_copy_only=False) & ~tfirst[1:] & (some[1:] > 0) & tclosed[:-1]
+        put("repeated_tokens", tp[1:], same)
 
     t = pc.replace_substring_regex(texts, _ENUMERATOR, "\x03\\1 ")
     t = pc.replace_substring_regex(t, _ABBREVIATION, r"\1\2")
@@ -123,114 +153,151 @@ def _measure(texts: pa.Array, words: pa.Array, classes: np.ndarray, open_ends: b
     put("word_letters", owner, length)
     put("common", owner, frequent)
     put("vowelless", owner, (length >= 3) & flatless)
+    bare = pc.replace_substring_regex(seg, r"[\s\x00-\x1f]+", "")
     v = np.zeros((m, len(_SEG)))
     v[:, 0] = np.bincount(wp, weights=length >= 2, minlength=m)[:m]
-    v[:, 1] = pc.utf8_length(pc.replace_substring_regex(seg, r"[\s\x00-\x1f]+", "")).to_numpy(zero_copy_only=False)
+    v[:, 1] = pc.utf8_length(bare).to_numpy(zero_copy_only=False)
     v[:, 2] = np.bincount(wp, weights=frequent, minlength=m)[:m]
-    v[:, 3] = pc.count_substring_regex(seg, r"\S[^\n]*").to_numpy(zero_copy_only=False)
+    v[:, 3] = pc.count_substring_regex(seg, r"[^\s\x00-\x1f][^\n]*").to_numpy(zero_copy_only=False)
     v[:, 4] = pc.count_substring_regex(seg, r";\s").to_numpy(zero_copy_only=False)
     v[:, 5] = pc.count_substring(seg, "\x03").to_numpy(zero_copy_only=False)
     v[:, 6] = pc.count_substring_regex(seg, r"[\t|<]").to_numpy(zero_copy_only=False)
+    v[:, 8] = v[:, 6] - pc.count_substring_regex(pc.replace_substring_regex(seg, r"^\s+", ""), r"[\t|<]").to_numpy(zero_copy_only=False)
     v[:, 7] = pc.ends_with(seg, "\x02").to_numpy(zero_copy_only=False)
-    first = np.r_[True, sp[1:] != sp[:-1]] if m else np.zeros(0, bool)
-    last = np.r_[sp[1:] != sp[:-1], True] if m else np.zeros(0, bool)
+    first, last = _edges(sp)
     closed = ~(first | last) if open_ends else np.ones(m, bool)
-    good = _good(v[:, 0], v[:, 2], v[:, 5], v[:, 6], v[:, 7])
+    good = _good(v)
     put("sentences", sp, good & closed)
     put("prose", sp, v[:, 1] * (good & closed))
     put("all_segments", sp, v[:, 1] * closed)
     put("items", sp, np.maximum(v[:, 3], v[:, 4]) * (~good & closed))
     if m > 1:
-        again = pc.equal(seg.slice(1), seg.slice(0, m - 1)).to_numpy(zero_copy_only=False) & ~first[1:] & good[1:]
-        put("repeated", sp[1:], again)
+        again = pc.equal(bare.slice(1), bare.slice(0, m - 1)).to_numpy(zero_copy_only=False) & ~first[1:] & good[1:]
+        put("repeated", sp[1:], again & closed[1:] & closed[:-1])
 
     rows = pc.split_pattern_regex(texts, r"\r?\n")
     line, lp = rows.flatten(), pc.list_parent_indices(rows).to_numpy()
-    k = len(line)
-    there = pc.match_substring_regex(line, r"\S").to_numpy(zero_copy_only=False)
-    flags = np.stack([pc.match_substring_regex(line, _LINES[name]).to_numpy(zero_copy_only=False) & there for name in _LINE_FLAGS], axis=1) if k else np.zeros((0, len(_LINE_FLAGS)), bool)
-    lfirst = np.r_[True, lp[1:] != lp[:-1]] if k else np.zeros(0, bool)
-    llast = np.r_[lp[1:] != lp[:-1], True] if k else np.zeros(0, bool)
-    lclosed = ~(lfirst | llast) if open_ends else np.ones(k, bool)
+    there = pc.match_substring_regex(line, r"[^\s\x04]").to_numpy(zero_copy_only=False)
+    lfirst, llast = _edges(lp)
+    lclosed = ~(lfirst | llast) if open_ends else np.ones(len(line), bool)
     put("lines", lp, there & lclosed)
+    flags = _line_flags(line, there)
     for i, name in enumerate(_LINE_FLAGS):
         put(name, lp, flags[:, i] & lclosed)
     if not open_ends:
-        return (sums,)
-    edge = lambda mask, values: values[mask]
-    line_state = np.c_[there, flags].astype(float)
-    single, lsingle = first & last, lfirst & llast
-    starts = np.flatnonzero(first)
-    brk, lbrk = ~single[starts], ~lsingle[np.flatnonzero(lfirst)]
-    head, tail = edge(first, v), edge(last, v) * brk[:, None]
-    lhead, ltail = edge(lfirst, line_state), edge(llast, line_state) * lbrk[:, None]
-    edges = np.zeros((n, 3))
-    size = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+        return sums, []
+
     ends = np.cumsum(size)
-    full = size > 0
-    letter = np.isin(kind, (1, 4))
-    begins = (ends - size)[full]
-    inside = chars[begins] == ord(_INSIDE)
-    edges[full, 0], edges[full, 1], edges[full, 2] = letter[np.minimum(begins + inside, len(chars) - 1)], letter[ends[full] - 1], inside
-    return sums, head, tail, lhead, ltail, brk, lbrk, edges
+    states = []
+    for i, (ta, tz, sa, sz, la, lz) in enumerate(zip(*[np.flatnonzero(x) for x in (tfirst, tlast, first, last, lfirst, llast)])):
+        inside = size[i] > 0 and chars[ends[i] - size[i]] == ord(_INSIDE)
+        begin = ends[i] - size[i] + inside
+        letter = [bool(size[i] > inside and kind[at] in (1, 4)) for at in (min(begin, len(chars) - 1), ends[i] - 1)]
+        segment = lambda at: (v[at], _hash(bare[at].as_py()))  # noqa: B023, E731
+        states.append(
+            {
+                "sums": sums[i], "inside": bool(inside), "letter": letter,
+                "token": _stretch(ta, tz, lambda at: _token(token[at].as_py().removeprefix(_INSIDE))),  # noqa: B023
+                "segment": _stretch(sa, sz, segment),
+                "line": _stretch(la, lz, lambda at: (line[at].as_py().removeprefix(_INSIDE),)),  # noqa: B023
+            }
+        )
+    return sums, states
+
+
+_HEX = r"^[0-9a-f]{6,}$"
 
 
-def _close_segment(s: np.ndarray, sums: np.ndarray) -> None:
-    good = bool(_good(s[0], s[2], s[5], s[6], s[7]))
+def _token(text: str) -> tuple[tuple[int, int], bool]:
+    return _hash(text), all(ch in "0123456789abcdef" for ch in text)
+
+
+def _stretch(a: int, z: int, part) -> dict:
+    """What lies between two cuts: its first part, open to the left; its last, open to the right (none where it is the
+    first too); the first and last of those between, which are whole."""
+    return {"head": part(a), "tail": part(z) if z > a else None, "from": part(a + 1) if z > a + 1 else None, "to": part(z - 1) if z > a + 1 else None}
+
+
+def _close_token(t: tuple, before: tuple | None, after: tuple | None, sums: np.ndarray) -> None:
+    (h, size), hexadecimal = t
+    if size:
+        sums[_AT["tokens"]] += 1
+        sums[_AT["long"]] += size * (size >= 40)
+        sums[_AT["hex"]] += hexadecimal and size >= 6
+        sums[_AT["repeated_tokens"]] += (before is not None and before[0] == t[0]) + (after is not None and after[0] == t[0])
+
+
+def _close_segment(s: tuple, before: tuple | None, after: tuple | None, sums: np.ndarray) -> None:
+    values, own = s
+    good = bool(_good(values))
     sums[_AT["sentences"]] += good
-    sums[_AT["prose"]] += s[1] * good
-    sums[_AT["all_segments"]] += s[1]
-    sums[_AT["items"]] += 0 if good else max(s[3], s[4])
+    sums[_AT["prose"]] += values[1] * good
+    sums[_AT["all_segments"]] += values[1]
+    sums[_AT["items"]] += 0 if good else max(values[3], values[4])
+    # equal ones are good alike, but for the end mark, which only the later one needs
+    later = after is not None and after[1] == own and bool(_good(after[0]))
+    sums[_AT["repeated"]] += (good and before is not None and before[1] == own) + later
 
 
-def _close_line(s: np.ndarray, sums: np.ndarray) -> None:
-    sums[_AT["lines"]] += s[0]
-    for i, name in enumerate(_LINE_FLAGS):
-        sums[_AT[name]] += s[1 + i]
+def _close_line(parts: tuple, before: object, after: object, sums: np.ndarray) -> None:
+    line = pa.array(["".join(parts)])
+    there = pc.match_substring_regex(line, r"[^\s\x04]").to_numpy(zero_copy_only=False)
+    sums[_AT["lines"]] += there[0]
+    for name, flag in zip(_LINE_FLAGS, _line_flags(line, there)[0]):
+        sums[_AT[name]] += flag
 
 
-def _join_segments(a: np.ndarray, b: np.ndarray, inside: bool) -> np.ndarray:
-    out = a + b
-    if inside:
-        out[3] -= min(a[3], b[3], 1)  # the line that goes on over the cut was counted on both sides
-    out[7] = b[7]
-    return out
+def _join_tokens(a: tuple, b: tuple, _: bool) -> tuple:
+    return _and_then(a[0], b[0]), a[1] and b[1]
 
 
-def _join_lines(a: np.ndarray, b: np.ndarray, inside: bool) -> np.ndarray:
-    out = np.maximum(a, b)
-    out[1] = b[1] if b[0] else a[1]  # the end of a line is the end of its last part
-    return out
+def _join_segments(a: tuple, b: tuple, same_line: bool) -> tuple:
+    values = a[0] + b[0]
+    values[3] -= same_line and a[0][3] > 0 and b[0][3] > 0  # the line that goes on over the cut was counted on both sides
+    values[7] = b[0][7]
+    values[8] -= b[0][8] * (a[0][1] > 0)  # no longer leading
+    return values, _and_then(a[1], b[1])
+
+
+_KINDS = {"token": (_join_tokens, _close_token), "segment": (_join_segments, _close_segment), "line": (lambda a, b, _: a + b, _close_line)}
 
 
 def merge(a: dict, b: dict) -> dict:
     """The state of two neighbouring stretches of text, as if they had been measured as one; associative."""
     sums = a["sums"] + b["sums"]
-    if a["edges"][1] and b["edges"][0]:
+    if a["letter"][1] and b["letter"][0]:
         sums[_AT["words"]] -= 1  # one word on both sides of the cut
-    out = {"sums": sums, "edges": np.array([a["edges"][0], b["edges"][1], a["edges"][2]])}
-    for open_, join, close in ((("head", "tail", "brk"), _join_segments, _close_segment), (("lhead", "ltail", "lbrk"), _join_lines, _close_line)):
-        h, t, k = open_
-        out[k] = a[k] or b[k]
-        middle = join(a[t] if a[k] else a[h], b[h], bool(b["edges"][2]))
-        if a[k] and b[k]:
-            close(middle, sums)
-        out[h] = a[h] if a[k] else middle
-        out[t] = b[t] if b[k] else middle if a[k] else np.zeros_like(middle)
+    out = {"sums": sums, "inside": a["inside"], "letter": [a["letter"][0], b["letter"][1]]}
+    for name, (join, close) in _KINDS.items():
+        x, y = a[name], b[name]
+        middle = join(x["tail"] if x["tail"] is not None else x["head"], y["head"], b["inside"])
+        new = {"head": x["head"] if x["tail"] is not None else middle, "tail": y["tail"] if y["tail"] is not None else (middle if x["tail"] is not None else None)}
+        if x["tail"] is not None and y["tail"] is not None:
+            close(middle, x["to"], y["from"], sums)
+            empty = name == "token" and not middle[0][1]
+            if empty and x["to"] is not None and y["from"] is not None and x["to"][0] == y["from"][0]:
+                sums[_AT["repeated_tokens"]] += 1
+            whole = [p for p in (x["from"], None if empty else middle, y["from"]) if p is not None]
+            ends = [p for p in (x["to"], None if empty else middle, y["to"]) if p is not None]
+            new |= {"from": whole[0] if whole else None, "to": ends[-1] if ends else None}
+        else:
+            new |= {"from": x["from"] if x["tail"] is not None else y["from"], "to": y["to"] if y["tail"] is not None else x["to"]}
+        out[name] = new
     return out
 
 
 def finish(state: dict) -> np.ndarray:
     sums = state["sums"].copy()
-    for h, t, k, close in (("head", "tail", "brk", _close_segment), ("lhead", "ltail", "lbrk", _close_line)):
-        close(state[h], sums)
-        if state[k]:
-            close(state[t], sums)
+    for name, (_, close) in _KINDS.items():
+        x = state[name]
+        close(x["head"], None, x["from"], sums)
+        if x["tail"] is not None:
+            empty = name == "token" and not x["head"][0][1]
+            close(x["tail"], x["to"] if x["to"] is not None else None if empty else x["head"], None, sums)
     return sums
 
 
-_STATE = ("sums", "head", "tail", "lhead", "ltail", "edges")
-_STATE_SCHEMA = "doc_id long, no long, " + ", ".join(f"{n} array<double>" for n in _STATE) + ", brk boolean, lbrk boolean"
+_STATE_SCHEMA = "doc_id long, no long, state binary"
 _SUM_SCHEMA = "doc_id long, sums array<double>"
 
 
@@ -246,46 +313,40 @@ def _partial(words: list[str], chunked: bool):
                 b = batch.slice(at, 2_000)
                 if not b.num_rows:
                     continue
-                got = _measure(b.column("text").cast(pa.string()), known, classes, chunked)
-                if not chunked:
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(got[0])], names=["doc_id", "sums"])
-                    continue
-                sums, head, tail, lhead, ltail, brk, lbrk, edges = got
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("no"), *[_lists(np.asarray(x, float)) for x in (sums, head, tail, lhead, ltail, edges)], pa.array(brk), pa.array(lbrk)],
-                    names=["doc_id", "no", *_STATE, "brk", "lbrk"],
-                )
+                sums, states = _measure(b.column("text").cast(pa.string()), known, classes, chunked)
+                if chunked:
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("no"), pa.array([pickle.dumps(x) for x in states], pa.binary())], names=["doc_id", "no", "state"])
+                else:
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(sums)], names=["doc_id", "sums"])
 
     return kernel
 
 
-def _state(r) -> dict:
-    return {n: np.array(getattr(r, n), float) for n in _STATE} | {"brk": bool(r.brk), "lbrk": bool(r.lbrk)}
+def _merged(pdf: pd.DataFrame) -> dict:
+    state = None
+    for raw in pdf.sort_values("no")["state"]:
+        state = pickle.loads(raw) if state is None else merge(state, pickle.loads(raw))
+    return state
 
 
 def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("no")
-    state = None
-    for r in pdf.itertuples():
-        state = _state(r) if state is None else merge(state, _state(r))
-    return pd.DataFrame([{"doc_id": pdf["doc_id"].iloc[0], "no": pdf["no"].iloc[0] // FAN_IN, **{n: state[n].tolist() for n in _STATE}, "brk": state["brk"], "lbrk": state["lbrk"]}])
+    return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "no": pdf["no"].iloc[:1] // FAN_IN, "state": [pickle.dumps(_merged(pdf))]})
 
 
 def _finish_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    state = None
-    for r in pdf.sort_values("no").itertuples():
-        state = _state(r) if state is None else merge(state, _state(r))
-    return pd.DataFrame([{"doc_id": pdf["doc_id"].iloc[0], "sums": finish(state).tolist()}])
+    return pd.DataFrame([{"doc_id": pdf["doc_id"].iloc[0], "sums": finish(_merged(pdf)).tolist()}])
 
 
 def _chunks(docs: DataFrame, chunk: int) -> DataFrame:
-    """``(doc_id, no, text)``: long texts cut at about every ``chunk`` characters, at a line break or space if there is
-    one close before; every character falls into exactly one chunk."""
+    """``(doc_id, no, text)``: long texts cut into chunks of less than twice ``chunk`` characters; every character falls
+    into exactly one. Of the ``chunk`` characters before a cut's place the last line's start is taken, of a line with
+    something on it; without one, the last word's start; without one, the last place between a letter and a digit."""
+    cuts = (r"(?s)^(.*\n)(?=[ \t\r]*\S)", r"(?s)^(.*\s)(?=[\pL\pN])", r"(?s)^(.*(?:\pL(?=\pN)|\pN(?=\pL)))")
 
     def cut(at: Column) -> Column:
-        before = F.substr("text", at - WINDOW + 1, F.lit(WINDOW))
-        line, blank = F.length(F.regexp_extract(before, r"(?s)^(.*\n)(?=\S)", 1)), F.length(F.regexp_extract(before, r"(?s)^(.*\s)(?=\S)", 1))
-        return F.when((at <= 0) | (at >= F.length("text")), at).otherwise(at - WINDOW + F.when(line > 0, line).when(blank > 0, blank).otherwise(WINDOW))
+        before = F.substr("text", at - chunk + 1, F.lit(chunk))
+        found = [F.nullif(F.length(F.regexp_extract(before, c, 1)), F.lit(0)) for c in cuts]
+        return F.when((at <= 0) | (at >= F.length("text")), at).otherwise(at - chunk + F.coalesce(*found, F.lit(chunk)))
 
     numbered = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))).alias("no"))
     begin, end = cut(F.col("no") * chunk), F.least(cut((F.col("no") + 1) * chunk), F.length("text"))
@@ -299,9 +360,11 @@ def text_statistics(docs: DataFrame, words: DataFrame, chunk: int = CHUNK) -> Da
 
     ``docs``: ``doc_id`` (unique), ``text``; ``words``: ``word``, the frequent words of all languages, a fixed list of a
     few hundred. Documents up to ``chunk`` characters are measured where they lie, without any shuffle. Longer ones are
-    cut, each chunk gives counts of what it holds whole and the state of what it cuts, and only these states, some
-    hundred numbers each, move: merged ``FAN_IN`` at a time, in order, until one is left. The result doesn't depend on
-    where the cuts fall, but for a word of more than ``WINDOW`` letters.
+    cut, each chunk gives counts of what it holds whole and the state of what it cuts: the hash and measure of the open
+    token and segment, the open line, and what lies next to them. Only these states move, merged ``FAN_IN`` at a time, in
+    order, level by level until one is left. All counts are the same wherever the cuts fall; the one exception are runs
+    of more than ``chunk`` characters without any blank, in which a single word may be cut. A line longer than a chunk is
+    put together again where its end is known, so it travels as text; it is never more than its own document's row.
     Null and empty texts count as zero everywhere (ratios 0); null doc_ids are kept as they are for short texts and left
     out for long ones; repeated texts are measured each; other columns are left out.
     """
@@ -310,8 +373,9 @@ def text_statistics(docs: DataFrame, words: DataFrame, chunk: int = CHUNK) -> Da
     size = F.coalesce(F.length("text"), F.lit(0))
     short = docs.where(size <= chunk).mapInArrow(_partial(known, False), _SUM_SCHEMA)
     states = _chunks(docs.where((size > chunk) & F.col("doc_id").isNotNull()), chunk).mapInArrow(_partial(known, True), _STATE_SCHEMA)
-    level = states.groupBy("doc_id", F.floor(F.col("no") / FAN_IN).alias("node")).applyInPandas(_merge_group, _STATE_SCHEMA)
-    sums = short.unionByName(level.groupBy("doc_id").applyInPandas(_finish_group, _SUM_SCHEMA))
+    for _ in range(LEVELS - 1):
+        states = states.groupBy("doc_id", F.floor(F.col("no") / FAN_IN).alias("node")).applyInPandas(_merge_group, _STATE_SCHEMA)
+    sums = short.unionByName(states.groupBy("doc_id").applyInPandas(_finish_group, _SUM_SCHEMA))
     flat = sums.select("doc_id", *[F.col("sums")[i].alias(n) for n, i in _AT.items()])
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return flat.withColumns(
