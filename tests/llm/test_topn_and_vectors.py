@@ -3,9 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from statuta.llm import vectors
 from statuta.llm.topn import top_n
-from statuta.llm.vectors import nearest, pairs
+from statuta.llm.vectors import Index, nearest, pairs
 
 
 def brute(rows, n):
@@ -62,25 +61,26 @@ def clustered(seed, n):
     return list(range(1, n + 1)), m.astype(np.float32).astype(np.float64)
 
 
-def test_neighbours_recall(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "LIST", 40)  # so that long lists are cut into blocks
+def test_neighbours_recall(spark):
     ids, m = clustered(1, 400)
     rows = [(i, x.tolist()) for i, x in zip(ids, m)] + [(9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [1.0]), (9004, None), (9005, [None] * 16), (9006, [float("inf")] * 16)]
     df = spark.createDataFrame(rows, "id long, v array<float>").selectExpr("*", "'x' AS other", "1 AS rep")
-    got = {tuple(r) for r in pairs(nearest(df, "id", "v", 5, 0.9, 16)).collect()}
     want = truth(ids, m, 5, 0.9)
-    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+    for index in (Index(group=20, candidates=12), Index(candidates=None)):  # blocks and few candidates; exact
+        got = {tuple(r) for r in pairs(nearest(df, "id", "v", 5, 0.9, 16, index)).collect()}
+        assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+    with pytest.raises(ValueError):
+        Index(postings=9)
 
 
-@pytest.mark.parametrize("size", [20_000, 300])
-def test_dense_group_of_a_third_of_the_rows(spark, monkeypatch, size):
-    monkeypatch.setattr(vectors, "LIST", size)
+@pytest.mark.parametrize("size", [65_536, 150])
+def test_dense_group_of_a_third_of_the_rows(spark, size):
     ids, m = clustered(2, 2_000)
     r = np.random.default_rng(3)
     group = (r.normal(size=16) * 4 + r.normal(size=(1_000, 16))).astype(np.float32).astype(np.float64)
     ids, m = [*ids, *range(5_001, 6_001)], np.vstack([m, group])
     df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, m)], "id long, v array<float>")
-    got = {tuple(r) for r in pairs(nearest(df, "id", "v", 5, 0.9, 16)).collect()}
+    got = {tuple(r) for r in pairs(nearest(df, "id", "v", 5, 0.9, 16, Index(group=size))).collect()}
     want = truth(ids, m, 5, 0.9)
     dense = {p for p in want if p[0] > 5_000}
     assert len(dense) > 2_000 and len(got & dense) >= 0.99 * len(dense)
