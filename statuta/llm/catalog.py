@@ -10,7 +10,7 @@ from statuta.llm.mixing import mix, source_name
 from statuta.llm.names import map_names
 from statuta.llm.packing import pack
 from statuta.llm.pairs import find_defects
-from statuta.llm.quality import document_kind, text_statistics
+from statuta.llm.quality import document_kind, document_weight, text_statistics
 from statuta.llm.tokens import count_tokens
 from statuta.llm.topn import top_n
 from statuta.llm.vectors import nearest, pairs
@@ -154,10 +154,20 @@ def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
 
 @query
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
-    """Every text in containers of each capacity: three plans, each with one capacity."""
+    """Every text in containers of each capacity: three plans. Texts are routed to the tiers of the plan's capacity, its
+    half and its quarter; the longest tier is packed first and its containers' gaps are filled from the shorter ones."""
     docs = read_table(spark, d, "documents", "doc_id", "text")
-    plans = {n: [c] for n, c in _capacities(spark, d).items()}
-    return pack(materialise(count_tokens(docs, "text", ["doc_id"])), plans).withColumnRenamed("plan", "pack_name")
+    plans = {n: sorted({max(1, c // 4), max(1, c // 2), c}) for n, c in _capacities(spark, d).items()}
+    return pack(materialise(count_tokens(docs, "text", ["doc_id"])), plans, one_size=True).withColumnRenamed("plan", "pack_name")
+
+
+@query
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each capacity are, and how evenly the step groups are loaded."""
+    boxes = p7_packed(spark, d).groupBy("pack_name", "capacity", "step", "container").agg(F.sum("tokens").alias("n"))
+    steps = boxes.groupBy("pack_name", "capacity", "step").agg(F.count("*").alias("boxes"), F.sum("n").alias("n"))
+    full = F.sum("n") / (F.sum("boxes") * F.col("capacity"))
+    return steps.groupBy("pack_name", "capacity").agg(F.sum("boxes").alias("containers"), F.sum("n").alias("tokens"), F.round(full, 6).alias("fill"), F.round(F.min(F.col("n") / (F.col("boxes") * F.col("capacity"))), 6).alias("emptiest_step"))
 
 
 @query
@@ -171,13 +181,11 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = read_table(spark, d, "documents", "doc_id", "text", "source")
     targets = read_table(spark, d, "mix_targets", "source", "target_share", "max_repeats")
     wanted = F.broadcast(targets.select(source_name(F.col("source")).alias("s")).distinct())  # at most MOST_SOURCES names
-    docs = docs.withColumn("s", source_name(F.col("source"))).join(wanted, "s", "left_semi").withColumn("chars", F.length("text"))
-    docs = docs.withColumn("identity", F.concat_ws("-", F.xxhash64("text").cast("string"), F.hash("text").cast("string"), F.col("chars").cast("string")))
-    sized = count_tokens(docs, "text", ["doc_id", "source", "identity", "chars"])
-    # characters per token: low for noise and encoded data, high for one sign over and over, three to five for prose
-    usual = F.col("chars") / F.greatest("tokens", F.lit(1))
-    weight = F.when(usual > 9, 0.05).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.05), (usual - 1.2) / 2)))
-    return mix(sized.withColumn("weight", weight), targets)
+    docs = docs.withColumn("s", source_name(F.col("source"))).join(wanted, "s", "left_semi")
+    docs = docs.withColumn("identity", F.concat_ws("-", F.xxhash64("text").cast("string"), F.hash("text").cast("string"), F.length("text").cast("string")))
+    sized = count_tokens(docs, "text", ["doc_id", "source", "identity"])
+    quality = text_statistics(docs.select("doc_id", "text"), read_table(spark, d, "common_words", "word")).select("doc_id", document_weight().alias("weight"))
+    return mix(sized.join(quality, "doc_id", "left"), targets)
 
 
 @query

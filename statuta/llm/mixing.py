@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from statuta.plans.runtime import bounded_rows, materialise
 
-#: Ranges of keys whose sizes are summed before single texts are looked at.
-RANGES = 4_096
+#: Ranges of keys, so many for each unit of the key's logarithm, whose sizes are summed before single texts are looked at.
+#: An exponential variable of any rate falls into each with a probability of less than 1 in 2,700: no range is hot.
+RANGES = 1_024
 #: Sources a plan may have; their figures are held on the driver.
 MOST_SOURCES = 10_000
 
@@ -38,8 +39,9 @@ def mix(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     no text exceeds its repeats by being there twice. The total is ``total_tokens`` or, without it, the largest at which
     every source present can supply its share; shares of sources without any text go to the others in proportion. A
     source gives as many complete epochs as its budget holds, then the texts with the smallest keys up to what is left,
-    cut where it comes nearest. Keys are cut into ranges, range sizes are prefix-summed per source, and only the texts of
-    the one range in which the budget ends are ordered singly: no sort of a whole source, however large.
+    cut where it comes nearest. Keys are cut into ranges by their logarithm, range sizes are prefix-summed per source, and
+    only the texts of the one range in which the budget ends are ordered singly: no sort of a whole source, however large.
+    What is broadcast is one row a source.
     Texts without a target source, and null sources, take no part; null tokens and weights count as 0; a null or
     negative share is 0, a null number of repeats 1; empty tables give no rows.
     """
@@ -51,7 +53,7 @@ def mix(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     rows = rows.where(F.col("source").isin(list(plan)))
     one = rows.groupBy("identity").agg(F.min(F.struct("doc_id", "source", "tokens", "weight")).alias("r")).select("identity", "r.*")
     keyed = one.select("doc_id", "source", "tokens", exponential_key(F.col("identity"), F.col("weight"), seed).alias("key"))
-    kept = materialise(keyed.withColumn("range", F.least(F.floor(F.col("key") / (1 + F.col("key")) * RANGES), F.lit(RANGES - 1)).cast("int")))
+    kept = materialise(keyed.withColumn("range", F.floor(F.log(F.greatest("key", F.lit(1e-18))) * RANGES).cast("int")))
 
     available = {r["source"]: r["n"] for r in kept.groupBy("source").agg(F.sum("tokens").alias("n")).collect() if r["n"]}
     present = {s: plan[s] for s in available if plan[s][0] > 0 and plan[s][1] > 0}
@@ -66,12 +68,14 @@ def mix(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
 
     ranges = kept.groupBy("source", "range").agg(F.sum("tokens").alias("n"))
     before = ranges.select("source", "range", "n", (F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).alias("start"))
-    placed = before.join(F.broadcast(figures), "source").select("source", "range", "n", "start", "epochs", "rest")  # at most RANGES rows a source
-    placed = placed.withColumn("state", F.when(F.col("start") + F.col("n") <= F.col("rest"), 1).when(F.col("start") >= F.col("rest"), 0).otherwise(2))
-    used = kept.join(F.broadcast(placed), ["source", "range"])
+    # the first range that a source's budget doesn't hold whole: one row a source
+    edge = before.join(F.broadcast(figures), "source").where(F.col("start") + F.col("n") > F.col("rest")).groupBy("source").agg(F.min(F.struct("range", "start")).alias("e"))
+    placed = F.broadcast(figures.join(edge, "source", "left").select("source", "epochs", "rest", F.col("e.range").alias("edge"), F.col("e.start").alias("start")))  # at most MOST_SOURCES
+    used = kept.join(placed, "source")
+    at_edge = F.coalesce((F.col("range") == F.col("edge")) & (F.col("start") < F.col("rest")), F.lit(False))
     inside = Window.partitionBy("source").orderBy("key", "doc_id")
-    last = used.where("state = 2").withColumn("until", F.col("start") + F.sum("tokens").over(inside)).withColumn("taken", (F.col("until") - F.col("tokens") / 2 <= F.col("rest")).cast("int"))
-    clear = used.where("state <> 2").withColumn("taken", F.col("state"))
+    last = used.where(at_edge).withColumn("until", F.col("start") + F.sum("tokens").over(inside)).withColumn("taken", (F.col("until") - F.col("tokens") / 2 <= F.col("rest")).cast("int"))
+    clear = used.where(~at_edge).withColumn("taken", F.coalesce((F.col("range") < F.col("edge")).cast("int"), F.lit(1)))
     cols = ["source", "doc_id", "tokens", (F.col("epochs") + F.col("taken")).cast("int").alias("repeats")]
     chosen = clear.select(*cols).unionByName(last.select(*cols)).where("repeats > 0")
 

@@ -3,8 +3,11 @@ automaton."""
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,107 +69,153 @@ def aliases(code: str | None, title: str | None, name: str | None) -> dict[str,
 
 
 class Trie:
-    """Words with values; all words within ``k`` edits (insertion, deletion, exchange, swap of neighbours) of a name."""
-
-    def __init__(self) -> None:
-        self.root: list = [{}, None]
-
-    def add(self, word: str, value: str) -> None:
-        node = self.root
-        for ch in word:
-            node = node[0].setdefault(ch, [{}, None])
-        node[1] = (node[1] or set()) | {value}
-
-    def exact(self, name: str) -> set[str]:
-        node = self.root
-        for ch in name:
-            if (node := node[0].get(ch)) is None:
-                return set()
-        return node[1] or set()
+    """Words with values, as flat arrays: nodes by level, so that the child of edge ``e`` is node ``e + 1``; some ten
+    bytes a node. All words within ``k`` edits (insertion, deletion, exchange, swap of neighbours) of a name are found by
+    walking trie and automaton together."""
+
+    def __init__(self, values: dict[str, set[str]]) -> None:
+        words = sorted(w for w in values if w)
+        self.at_root = sorted(values.get("", ()))
+        lengths = np.array([len(w) for w in words], dtype=np.int32)
+        table = np.zeros((len(words), int(lengths.max(initial=0))), np.uint32)
+        for i, w in enumerate(words):
+            table[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), np.uint32)
+        node = np.zeros(len(words), np.int32)  # where each word has got to
+        new, letters, parents, ends = np.zeros(len(words), bool), [], [], np.zeros(len(words), np.int32)
+        total = 1
+        for j in range(table.shape[1]):
+            change = np.r_[True, table[1:, j] != table[:-1, j]] if len(words) else new
+            new = new | change
+            there = lengths > j
+            first = new & there
+            letters.append(table[first, j])
+            parents.append(node[first])
+            node = np.where(there, total - 1 + np.cumsum(first), node).astype(np.int32)
+            total += int(first.sum())
+            ends = np.where(lengths == j + 1, node, ends)
+        edges = np.concatenate([np.zeros(0, np.uint32), *letters])
+        above = np.concatenate([np.zeros(0, np.int32), *parents])
+        low, high = np.full(total, 1 << 20, np.int32), np.zeros(total, np.int32)
+        low[ends] = 0
+        at = total
+        for level in reversed(parents):  # how many letters may follow: from the leaves up
+            own = np.arange(at - len(level), at)
+            np.minimum.at(low, level, low[own] + 1)
+            np.maximum.at(high, level, high[own] + 1)
+            at -= len(level)
+        begin = np.searchsorted(above, np.arange(total + 1))
+        self.letters = [chr(c) for c in np.unique(edges)]
+        self.edges = array("H", np.searchsorted(np.unique(edges), edges).astype(np.uint16).tobytes())
+        self.begin, self.low, self.high = (array("i", x.astype(np.int32).tobytes()) for x in (begin, low, high))
+        order = np.argsort(ends, kind="stable")
+        self.ends, self.values = array("i", ends[order].astype(np.int32).tobytes()), [sorted(values[words[i]]) for i in order]
 
     def within(self, name: str, k: int) -> list[tuple[str, int]]:
-        """``(value, edits)`` of all words in reach, walking trie and automaton together.
+        """``(value, edits)`` of all words in reach.
 
         The automaton's state is ``k + 1`` bit sets, one per number of edits: bit ``i`` stands for ``i`` letters of the
-        name read. A branch is left as soon as the state is empty.
+        name read. Places from which no word below could end in time are taken out; a branch is left when none is left.
         """
         n, full = len(name), (1 << (len(name) + 1)) - 1
         chars: dict[str, int] = {}
         for i, ch in enumerate(name):
             chars[ch] = chars.get(ch, 0) | (1 << i)
+        masks = [chars.get(ch, 0) for ch in self.letters]
         start, reach = [], 1
         for _ in range(k + 1):
             start.append(reach)
             reach |= (reach << 1) & full
-        none = [0] * (k + 1)
-        found: dict[str, int] = {}
-        stack = [(self.root, start, none, 0)]
+        found: dict[str, int] = {v: n for v in self.at_root if n <= k}
+        stack = [(0, start, [0] * (k + 1))]
+        begin, edges, low, high = self.begin, self.edges, self.low, self.high
         while stack:
-            (children, values), state, swap, _ = stack.pop()
-            if values:
-                for e in range(k + 1):
-                    if state[e] >> n & 1:
-                        for v in values:
-                            found[v] = min(found.get(v, e), e)
-                        break
-            for ch, child in children.items():
-                mask = chars.get(ch, 0)
-                new = [((state[0] & mask) << 1) & full]
+            node, state, swap = stack.pop()
+            for edge in range(begin[node], begin[node + 1]):
+                mask, child = masks[edges[edge]], edge + 1
+                first, last = n - high[child] - k, n - low[child] + k
+                bits = ((state[0] & mask) << 1) & full
+                new = [bits]
                 for e in range(1, k + 1):
-                    low = state[e - 1]
-                    new.append((((state[e] & mask) << 1) | low | (low << 1) | (new[e - 1] << 1) | ((swap[e - 1] & mask) << 2)) & full)
-                if new[k]:
-                    # a swap begins where the letter read is the one after next in the name
-                    stack.append((child, new, [(s & (mask >> 1)) for s in state], 0))
+                    before = state[e - 1]
+                    bits = (((state[e] & mask) << 1) | before | (before << 1) | (bits << 1) | ((swap[e - 1] & mask) << 2)) & full
+                    new.append(bits)
+                inside = ((1 << (last + 1)) - 1 if last < n else full) if last >= 0 else 0
+                if first > 0:
+                    inside = inside >> first << first
+                if not bits & inside:
+                    continue
+                if low[child] == 0:
+                    for e in range(k + 1):
+                        if new[e] >> n & 1:
+                            for v in self.values[bisect_left(self.ends, child)]:
+                                found[v] = min(found.get(v, e), e)
+                            break
+                # a swap begins where the letter read is the one after next in the name
+                stack.append((child, new, [s & (mask >> 1) for s in state]))
         return list(found.items())
 
 
-def _trie(rows: list) -> Trie:
-    trie, decoys, own = Trie(), set(), set()
+def _trie(rows: list[dict]) -> Trie:
+    values: dict[str, set[str]] = {}
+    decoys, own = set(), set()
     for r in rows:
         a = aliases(r["title"] and r["code"], r["title"], r["name"])
-        for _, w in a["code"]:
-            own.add(_fold(w))
-            trie.add(_fold(w), r["code"])
-        for kind, w in a["paths"]:
-            if kind == a["own"]:
+        for kind, w in [*(("code", _fold(w)) for _, w in a["code"]), *a["paths"]]:
+            if kind in ("code", a["own"]):
                 own.add(w)
-                trie.add(w, r["code"])
+                values.setdefault(w, set()).add(r["code"])
             else:
                 decoys.add(w)
     for w in decoys - own:
-        trie.add(w, "")
-    return trie
+        values.setdefault(w, set()).add("")
+    return Trie(values)
+
+
+_BUILT: dict[int, Trie] = {}
+
+
+def _built(block: list[dict]) -> Trie:
+    """The trie of a block, kept for the next task of the same worker."""
+    key = hash(tuple((r["code"], r["title"], r["name"]) for r in block))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = _trie(block)
+    return _BUILT[key]
+
+
+def _blocks(reference: DataFrame) -> Iterator[list[dict]]:
+    """The reference list in blocks of ``BLOCK`` entries, read once in order; one block is held at a time."""
+    block: list[dict] = []
+    for r in reference.select("code", "title", "name").where("code IS NOT NULL").distinct().orderBy("code", "title", "name").toLocalIterator():
+        block.append(r.asDict())
+        if len(block) == BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
 
 
 def search(names: DataFrame, reference: DataFrame) -> DataFrame:
     """All entries of ``reference(code, title, name)`` within reach of each folded name of ``names(name)``: ``(name,
-    code, edits)``; ``code`` is empty where a decoy is as near.
+    code, edits)``; ``code`` is empty for a decoy. An empty name or list gives no rows.
 
-    The reference list is taken in blocks of ``BLOCK`` entries, so a trie's size is bounded whatever the list's length.
+    The reference list is taken in blocks of ``BLOCK`` entries, so a trie's size is bounded whatever the list's length; a
+    Python worker builds it once. Names are dealt to as many tasks as the session has shuffle partitions: they are small,
+    the search isn't.
     """
-    rows = reference.select("code", "title", "name").where("code IS NOT NULL").distinct().orderBy("code", "title", "name")
-    total = rows.count()
+    spark = names.sparkSession
+    dealt = names.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "name")
     out = None
-    for begin in range(0, max(total, 1), BLOCK):
-        block = [r.asDict() for r in rows.offset(begin).limit(BLOCK).collect()]
+    for block in _blocks(reference):
 
         def kernel(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            trie = _trie(block)
             for batch in batches:
-                got = []
-                for name in batch["name"]:
-                    hits: list[tuple[str, int]] = [(v, 0) for v in trie.exact(name)]
-                    for k in range(1, allowed(len(name)) + 1):
-                        if hits:
-                            break
-                        hits = trie.within(name, k)
-                    got += [(name, v, e) for v, e in hits]
-                yield pd.DataFrame(got, columns=["name", "code", "edits"])
+                trie = _built(block)
+                yield pd.DataFrame([(name, v, e) for name in batch["name"] for v, e in trie.within(name, allowed(len(name)))], columns=["name", "code", "edits"])
 
-        part = names.mapInPandas(kernel, "name string, code string, edits int")
+        part = dealt.mapInPandas(kernel, "name string, code string, edits int")
         out = part if out is None else out.unionByName(part)
-    return out
+    return names.sparkSession.createDataFrame([], "name string, code string, edits int") if out is None else out
 
 
 def map_names(df: DataFrame, value: str, keep: list[str], reference: DataFrame) -> DataFrame:

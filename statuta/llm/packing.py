@@ -61,7 +61,7 @@ def steps(fills: np.ndarray, capacities: np.ndarray, step: int = STEP) -> np.nda
 
 def _pack_share(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
-    where, opened = fill(pdf["tokens"].to_numpy(), pdf["tier"].to_numpy())
+    where, opened = fill(pdf["tokens"].to_numpy(), pdf["opens"].to_numpy())
     capacity = np.array(opened, dtype=np.int64)
     step = steps(np.bincount(where, weights=pdf["tokens"], minlength=len(opened)), capacity)
     base = int(pdf["share"].iloc[0]) << 32
@@ -71,10 +71,11 @@ def _pack_share(pdf: pd.DataFrame) -> pd.DataFrame:
 _SCHEMA = "plan string, container long, capacity long, step long, doc_id long, piece long, first_token long, tokens long"
 
 
-def pack(sizes: DataFrame, plans: dict[str, list[int]], total: int | None = None) -> DataFrame:
+def pack(sizes: DataFrame, plans: dict[str, list[int]], total: int | None = None, one_size: bool = False) -> DataFrame:
     """One row per text or piece: ``plan, container, capacity, step, doc_id, piece, first_token, tokens``.
 
-    ``sizes``: ``doc_id``, ``tokens``; ``plans``: for each plan the capacities its containers may have; ``total``: about
+    ``sizes``: ``doc_id``, ``tokens``; ``plans``: for each plan the context sizes of its tiers, which are the capacities
+    its containers may have, or, with ``one_size``, all tiers go into containers of the largest; ``total``: about
     how many pieces a plan has; without it they are counted, for which ``sizes`` is read twice. In every plan each text is put into exactly one container, whole; only a text longer
     than the largest capacity is cut, into full pieces and a rest. A text is routed to the smallest tier that holds it,
     the tiers are packed from the longest on, gaps being filled from the shorter ones, and containers of one capacity
@@ -97,6 +98,6 @@ def pack(sizes: DataFrame, plans: dict[str, list[int]], total: int | None = None
     cut = planned.select("*", F.explode(pieces).alias("piece"))
     size: Column = F.least(F.col("most"), F.col("tokens") - F.col("piece") * F.col("most"))
     items = cut.select("plan", "doc_id", "piece", (F.col("piece") * F.col("most")).alias("first_token"), F.greatest(size, F.lit(0)).alias("tokens"), "caps", "shares")
-    routed = items.withColumn("tier", F.filter("caps", lambda c: c >= F.col("tokens"))[0]).drop("caps")
+    routed = items.withColumn("opens", F.array_max("caps") if one_size else F.filter("caps", lambda c: c >= F.col("tokens"))[0]).drop("caps")
     shared = routed.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shares"))).drop("shares")
     return shared.groupBy("plan", "share").applyInPandas(_pack_share, _SCHEMA)

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from statuta.plans.runtime import bounded_rows
 
-#: Characters of the longest sentence that can be a refusal.
-LONGEST_REFUSAL = 600
+#: A refusal is the whole answer: what follows its first sentence is no longer than that sentence times the first number
+#: plus the second, in characters. A longer answer says something else.
+FOLLOWS = (1, 200)
 ORDER = ("empty", "refusal", "copy", "language", "truncated")
 
 # What stands for nothing, and how a model declines in four languages.
@@ -21,16 +22,22 @@ PLACEHOLDERS = {"", "null", "none", "nan", "n/a", "na", "nil", "tbd", "todo", "t
 REFUSALS = re.compile(
     r"\bI(?:'m| am)? (?:sorry,? but I )?(?:can ?not|can't|could not|couldn't|won't|will not|am not able|am unable|not able|unable|must decline|have to decline|decline|do not feel|refuse)\b"
     r"|\bmy guidelines\b|\bas an? (?:ai|large|language)\b|\bagainst (?:my|our) (?:guidelines|policy|policies)\b|\bunable to (?:help|assist|comply|translate|provide)\b|\b(?:can't|cannot|can not) (?:help|assist|comply) with\b"
-    r"|\bich (?:kann|darf|werde|muss|möchte|bin|sehe mich)\b[^.!?]*\b(?:nicht|kein\w*|ablehnen|ausserstande|außerstande)\b|\b(?:kann|darf|werde|muss|bin|sehe) ich (?:mich |dazu |diese\w* |leider |die |das |hier |dabei |keine?\w* )[^.!?]*\b(?:nicht|kein\w*|ablehnen|ausserstande|außerstande|anbieten|geben)\b"
-    r"|\b(?:kann|darf|muss|sehe) ich\b[^.!?]*\b(?:nicht|keine?\w*|ablehnen|ausserstande|außerstande)\b|\bmeine\w* richtlinien\b|\bals (?:ki|sprachmodell|ki-modell)\b"
     r"|\bje (?:ne (?:peux|suis|saurais|pourrai)|dois (?:refuser|décliner)|regrette)\b|\bmes (?:directives|consignes)\b|\ben tant que modèle\b|\bil m'est impossible\b"
     r"|\b(?:non posso|non sono in grado|devo rifiutare|devo declinare|mi dispiace)\b|\ble mie (?:linee|direttive)\b|\bcome modello\b|\bin quanto modello\b",
     re.I,
 )
+# Beginnings and, anywhere behind them in the same clause, ends of German refusals.
+REFUSALS_IN_TWO = [
+    (re.compile(r"\bich (?:kann|darf|werde|muss|möchte|bin|sehe mich)\b", re.I), re.compile(r"\b(?:nicht|kein\w*|ablehnen|ausserstande|außerstande)\b", re.I)),
+    (re.compile(r"\b(?:kann|darf|werde|muss|bin|sehe) ich (?:mich |dazu |diese\w* |leider |die |das |hier |dabei |keine?\w* )", re.I), re.compile(r"\b(?:nicht|kein\w*|ablehnen|ausserstande|außerstande|anbieten|geben)\b", re.I)),
+    (re.compile(r"\b(?:kann|darf|muss|sehe) ich\b", re.I), re.compile(r"\b(?:nicht|keine?\w*|ablehnen|ausserstande|außerstande)\b", re.I)),
+    (re.compile(r"\bmeine\w* richtlinien\b|\bals (?:ki|sprachmodell|ki-modell)\b", re.I), re.compile("")),
+]
 _LABEL = re.compile(r"[^:\n\"“«{\[]{2,70}:[*_]*(?=\s|$)\s*")
 _LABEL_WORDS = re.compile(r"(?i)deutsch|german|übersetz|uebersetz|translat|query|anfrage|antwort|answer|response|result|ergebnis|output|ausgabe|json|object|hier|here|voici|ecco|tedesc|allemand|traduc|traduz")
 _ABBREVIATED = re.compile(r"(?i)\b(?:abs|art|nr|lit|bst|ziff|vgl|bzw|resp|sog|bd|rz|inkl|ca|gem|i\.v\.m|d\.h|z\.b|u\.a|f|ff)\.$")
 _QUOTES = {"«": "»", "“": "”", "„": "“", '"': '"', "'": "'", "‹": "›", "”": "”", "»": "«"}
+_LANGUAGE_NOTES = ("(german)", "(deutsch)", "(allemand)", "(tedesco)")
 _FENCE = re.compile(r"^\s*(?:```|~~~)[ \t]*[\w-]*[ \t]*\n?")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -39,18 +46,19 @@ def unwrap(text: str) -> tuple[str, bool]:
     """The text without fences, labels, lead-ins and enclosing quotation marks, and whether something that was opened
     isn't closed."""
     t, open_ = text.strip(), False
-    for _ in range(6):
+    while True:
         before = t
         if m := _FENCE.match(t):
             t = t[m.end() :]
             end = re.search(r"(?:```|~~~)\s*$", t)
             open_ |= end is None
             t = (t[: end.start()] if end else t).strip()
-        m = _LABEL.match(t[:100])
+        m = _LABEL.match(t)
         if m and len(m.group().split()) <= 8 and _LABEL_WORDS.search(m.group()):
             t = t[m.end() :].strip()
-        if t.endswith(")") and (m := re.search(r"(?i)\((?:german|deutsch|allemand|tedesco)\)$", t[-20:])):
-            t = t[: -len(m.group())].rstrip()
+        for note in _LANGUAGE_NOTES:
+            if t[-len(note) :].lower() == note:
+                t = t[: -len(note)].rstrip()
         if len(t) >= 2 and t[0] in _QUOTES and t[-1] == _QUOTES[t[0]]:
             t = t[1:-1].strip()
         elif t in _QUOTES:
@@ -66,19 +74,33 @@ def is_nothing(text: str) -> bool:
 
 
 def is_refusal(text: str) -> bool:
-    """A refusal is what the answer says, not what somebody says in it: its first sentence declines, no longer than
-    ``LONGEST_REFUSAL``, and not much follows."""
+    """A refusal is what the answer says, not what somebody says in it: its first sentence declines, and not much follows
+    (``FOLLOWS``). Sentences of any length are read whole."""
     t = text.replace("’", "'")
     end = re.search(r"[.!?](?=\s|$)", t)
     first = t[: end.end()] if end else t
-    return len(first) <= LONGEST_REFUSAL and len(t) < 2 * len(first) + 200 and bool(REFUSALS.search(first))
+    return len(t) - len(first) < FOLLOWS[0] * len(first) + FOLLOWS[1] and declines(first)
+
+
+def declines(sentence: str) -> bool:
+    """In time linear in the sentence: the first beginning of a refusal reaches as far as any later one."""
+    if REFUSALS.search(sentence):
+        return True
+    for clause in re.split(r"[.!?]", sentence):
+        for begin, end in REFUSALS_IN_TWO:
+            if (m := begin.search(clause)) and end.search(clause, m.end()):
+                return True
+    return False
 
 
 def copies(query: str, text: str) -> bool:
-    """Most word triples of the text stand in the query."""
+    """The text begins as the query does for most of its words, or most of its word triples stand in the query."""
     a, q = _WORD.findall(text.lower()), _WORD.findall(query.lower())
     if len(a) < 3 or not q:
         return bool(a) and " ".join(a) == " ".join(q)
+    prefix = next((i for i, (x, y) in enumerate(zip(a, q)) if x != y), min(len(a), len(q)))
+    if prefix >= 3 and prefix >= 0.6 * len(a):
+        return True
     triples = set(zip(q, q[1:], q[2:]))
     own = list(zip(a, a[1:], a[2:]))
     return sum(x in triples for x in own) >= 0.6 * len(own)
@@ -97,8 +119,9 @@ def foreign(text: str, words: dict[str, set[str]], target: str) -> bool:
 
 def breaks_off(text: str, open_: bool) -> bool:
     t = text.rstrip()
-    if m := re.search(r"\([^()]{1,20}\)$", t[-22:]):  # a note behind the end
-        t = t[: -len(m.group())].rstrip() or t
+    note = t.rfind("(") if t.endswith(")") else -1
+    if note > 0 and ")" not in t[note:-1]:  # a note behind the end
+        t = t[:note].rstrip() or t
     if open_ or t.endswith(("…", "...", "..")):
         return True
     t = t.rstrip("»”“\"'›*_)] ")

@@ -406,3 +406,11 @@ def document_kind() -> Column:
     return (
         F.when(c("visible") == 0, None).when(ruined | over_again, "junk").when(prose | damaged, None).when(markup, "junk").when(table, "table").when(unreadable, "junk").when(listed, "list")
     )
+
+
+def document_weight() -> Column:
+    """Weight of a document in a mix, from a row of :func:`text_statistics`: prose by its share of sentences and of common
+    words, a half of it for lists and tables, little for junk and texts with nothing in them."""
+    prose = 0.4 + 0.4 * F.col("prose_share") + 0.2 * F.least(F.lit(1.0), 3 * F.col("common_word_share"))
+    kind = document_kind()
+    return F.when((F.col("visible") == 0) | (kind == "junk"), 0.05).when(kind.isNotNull(), 0.5 * prose).otherwise(prose)

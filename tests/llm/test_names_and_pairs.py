@@ -27,12 +27,23 @@ word = st.text("abc", max_size=7)
 @settings(max_examples=150, deadline=None)
 @given(st.lists(word, max_size=8), word, st.integers(0, 3))
 def test_automaton_against_edit_distance(entries, name, k):
-    trie = n.Trie()
-    for e in entries:
-        trie.add(e, e)
+    trie = n.Trie({e: {e} for e in entries})
     assert dict(trie.within(name, k)) == {e: osa(e, name) for e in set(entries) if osa(e, name) <= k}
 
 
+def test_trie_is_small():
+    """2,000 entries take under 30 MB, so 20,000 under 300; the search finds all entries in reach."""
+    import sys
+
+    r = random.Random(1)
+    part = lambda: "".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(4, 7)))
+    rows = [{"code": f"C{i}", "title": part() + part() + "gesetz", "name": f"{part()} {part()} Act"} for i in range(2_000)]
+    trie = n._trie(rows)
+    assert sum(sys.getsizeof(x) for x in (trie.edges, trie.begin, trie.low, trie.high, trie.ends, trie.values, *trie.values)) < 30e6
+    twins = n._trie([{"code": "A", "title": "Bachufergesetz", "name": None}, {"code": "B", "title": "Dachufergesetz", "name": None}])
+    assert dict(twins.within("bachufergesetz", 3)) == {"A": 0, "B": 1}
+
+
 REFERENCE = [("TorV", "Torfabbauverordnung", "Peat Cutting Ordinance"), ("KäR", "Käselagerreglement", "Cheese Storage Regulation"), ("SchG", "Schneeräumungsgesetz", "Snow Clearance Act"), ("SchV", "Schneeräumungsverordnung", "Snow Clearance Ordinance"), (None, "Titel", "x"), ("Z", None, None)]
 CASES = {
     "TorV": ["torv", "Tor.V.", "TorV12", "Torfabbau-VO", "Torfabbau Verordnung", "PEAT  CUTTING ORD.", "Federal Ordinance on Peat Cutting", "Ordinance, Peat Cutting", '"Peat Cutting" Ordinance', "Torfabbuaverordnung", "ganz falsch (TorV)", "Eidg. Torfabbauverordnung"],
