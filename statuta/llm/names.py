@@ -201,10 +201,10 @@ def search(names: DataFrame, reference: DataFrame) -> DataFrame:
 
     The reference list is taken in blocks of ``BLOCK`` entries, so a trie's size is bounded whatever the list's length; a
     Python worker builds it once. Names are dealt to as many tasks as the session has shuffle partitions: they are small,
-    the search isn't.
+    the search isn't. (By a hash of their own: by the name itself they lie already, and the planner would leave it out.)
     """
     spark = names.sparkSession
-    dealt = names.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "name")
+    dealt = names.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), F.xxhash64("name"))
     out = None
     for block in _blocks(reference):
 
