@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions.text import tokens
-from statuta.operators.scores import top_k
+from statuta.operators.overlap import hashed, top_overlaps
+from statuta.operators.scores import ordinals, top_k
 
 
 def overlaps(queries: DataFrame, query: str, q_text: str, docs: DataFrame, doc: str, d_text: str) -> DataFrame:
@@ -16,6 +17,15 @@ def overlaps(queries: DataFrame, query: str, q_text: str, docs: DataFrame, doc:
     return q.join(d, "term").groupBy(query, doc).agg(F.count("*").cast("double").alias("score"))
 
 
+def best_overlaps(queries: DataFrame, query: str, q_text: str, docs: DataFrame, doc: str, d_text: str, k: int) -> DataFrame:
+    """``(query, doc, score, rank)``: the ``k`` documents that share most distinct tokens with a query, ties by ``doc``;
+    those that share none are left out. Blocks of both sides meet and give their best; no row is made for other pairs."""
+    numbered = ordinals(docs.select(F.col(doc), hashed(tokens(F.col(d_text))).alias("words")), doc).withColumn("d", F.col("ord") - 1)
+    asked = queries.select(F.col(query).alias("q"), hashed(tokens(F.col(q_text))).alias("words"))
+    best = top_k(top_overlaps(asked, numbered.select("d", "words"), numbered.count(), k), ["q"], k, F.col("score").desc(), F.col("d"))
+    return best.join(numbered.select("d", doc), "d").select(F.col("q").alias(query), doc, "score", "rank")
+
+
 def words(c: Column, n: int) -> Column:
     """Words of at least two characters, lower case, and all runs of up to ``n`` of them."""
     one = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))

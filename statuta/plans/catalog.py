@@ -465,8 +465,7 @@ _TERMS = lambda key, table, col: f"SELECT DISTINCT {key}, unnest(regexp_extract_
 
 @query(f"SELECT test_id, law_id, score FROM (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY score DESC, law_id) AS k FROM (SELECT q.test_id, c.law_id, count(*)::DOUBLE AS score FROM ({_TERMS('test_id', 'test', 'query')}) q JOIN ({_TERMS('law_id', 'laws_db', 'document')}) c USING (term) GROUP BY 1, 2)) WHERE k <= 10")
 def lexical_overlap(s, d):
-    found = lx.overlaps(read_table(s, d, "test", "test_id", "query"), "test_id", "query", read_table(s, d, "laws_db", "law_id", "document"), "law_id", "document")
-    return sc.top_k(found, ["test_id"], 10, F.col("score").desc(), F.col("law_id"), name="k").drop("k")
+    return lx.best_overlaps(read_table(s, d, "test", "test_id", "query"), "test_id", "query", read_table(s, d, "laws_db", "law_id", "document"), "law_id", "document", 10).drop("rank")
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions.text import tokens
+from statuta.operators.overlap import hashed, overlap_levels, places
 from statuta.plans.config import PipelineConfig
 from statuta.plans.runtime import materialise
 
@@ -22,65 +23,39 @@ def run_pipeline(queries: DataFrame, documents: DataFrame, config: PipelineConfi
     as tokens) and by keyword overlap, ties by ``doc_ord``; both rankings are fused; the first ``seed_k`` of the lexical
     ranking lead to their outgoing neighbors; the blend is ``lexical * minmax + rrf * minmax + graph``.
 
-    No pair of query and document is made unless they share a token or the graph leads there. Of the documents that share
-    equally many tokens and no keyword, an earlier one is ahead in both rankings: only the first few of each such level
-    and its last one can matter, for the result and for the range of the scores. The same holds for those that share
-    nothing, of which only these few are made up.
+    No row is made for a pair of query and document. Of the documents that share equally many tokens and no keyword, an
+    earlier one is ahead in both rankings: only the first few of each such level and its last one can matter, for the
+    result and for the range of the scores. Blocks of queries and documents give each level's size and these few
+    (:mod:`statuta.operators.overlap`); a document's place is what stands above its level, before its block and before it
+    there. The places of those that the graph leads to are counted afterwards.
     Queries without a document give no rows; null texts have no tokens.
     """
     k, limit = config.rrf_k, config.result_limit
-    docs = documents.select("doc_ord", "citation", tokens(F.col("text")).alias("t"), F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower).alias("k"))
+    docs = documents.select("doc_ord", "citation", tokens(F.col("text")).alias("t"), F.array_distinct(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower)).alias("k"))
     n = documents.count()
     if not n:
         return queries.sparkSession.createDataFrame([], RESULT)
-    terms = docs.select("doc_ord", F.explode(F.array_union("t", "k")).alias("term"))
-    marked = terms.join(docs.select("doc_ord", F.explode(F.array_distinct("k")).alias("term"), F.lit(1).alias("is_key")), ["doc_ord", "term"], "left")
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
-    found = asked.join(marked, "term").groupBy("query_id", "doc_ord").agg(F.count("*").cast("double").alias("lex"), F.coalesce(F.sum("is_key"), F.lit(0)).cast("double").alias("key"))
-
+    asked = queries.select(F.col("query_id").alias("q"), hashed(tokens(F.col("text"))).alias("words"))
+    corpus = docs.select(F.col("doc_ord").cast("long").alias("d"), hashed(F.array_union("t", "k")).alias("words"), hashed(F.col("k")).alias("keys"))
     by_query = Window.partitionBy("query_id")
-    level, by_ord, most = Window.partitionBy("query_id", "lex"), by_query.orderBy("doc_ord"), max(limit, config.seed_k)
-    # place among the documents of as many shared tokens, and the neighbouring ones by doc_ord; all that follows needs
-    # few rows of a query
-    found = found.withColumns({"pos": F.row_number().over(level.orderBy("doc_ord")), "last": F.max(F.when(F.col("key") == 0, F.col("doc_ord"))).over(level)})
-    found = materialise(found.withColumns({"rn": F.row_number().over(by_ord) - 1, "next": F.lead("doc_ord", 1, n).over(by_ord)}))
-    levels = found.groupBy("query_id", "lex").agg(F.count("*").alias("size"), F.count_if(F.col("key") > 0).alias("keys"))
+    blocks = materialise(overlap_levels(asked, corpus, n, max(limit, config.seed_k)).withColumnRenamed("q", "query_id"))
+    levels = blocks.groupBy("query_id", "lex").agg(F.sum("size").alias("size"), F.sum("keys").alias("keys"))
     above = F.coalesce(F.sum("size").over(by_query.orderBy(F.col("lex").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    levels = levels.select("query_id", "lex", above.alias("above"), "size", "keys")
-    counts = levels.groupBy("query_id").agg(F.sum("size").alias("n_lex"), F.sum("keys").alias("n_key"))
-    counts = queries.select("query_id").distinct().join(counts, "query_id", "left").fillna(0)
-    heads = found.where((F.col("pos") <= most) | (F.col("doc_ord") == F.col("last")) | (F.col("key") > 0)).join(levels.select("query_id", "lex", "above"), ["query_id", "lex"])
-    heads = heads.select("query_id", "doc_ord", "lex", "key", (F.col("above") + F.col("pos")).alias("r_lex"))
-
-    # documents that share nothing lie in the gaps: the first `most` and the last one of each query
-    span = lambda start, size, before: F.transform(F.sequence(F.lit(1), size.cast("int")), lambda j: F.struct((start + j).cast("int").alias("doc_ord"), (before + j).cast("long").alias("p")))
-    none = F.array().cast("array<struct<doc_ord: int, p: bigint>>")
-    seen = F.col("doc_ord") - F.col("rn")  # how many of them come before this row
-    after = F.least(F.col("next") - F.col("doc_ord") - 1, most - seen)
-    lead_in = F.least(F.col("doc_ord"), F.lit(most))
-    gaps = F.concat(F.when((F.col("rn") == 0) & (lead_in > 0), span(F.lit(-1), lead_in, F.lit(0))).otherwise(none), F.when(after > 0, span(F.col("doc_ord"), after, seen)).otherwise(none))
-    tail = F.max(F.when(F.col("next") - F.col("doc_ord") > 1, F.col("next") - 1).when((F.col("rn") == 0) & (F.col("doc_ord") > 0), F.col("doc_ord") - 1)).alias("doc_ord")
-    untouched = counts.where("n_lex = 0").select("query_id")
-    first = found.where((after > 0) | ((F.col("rn") == 0) & (F.col("doc_ord") > 0))).select("query_id", F.explode(gaps).alias("z")).select("query_id", "z.*").where(F.col("p") <= most)
-    first = first.unionByName(untouched.select("query_id", F.explode(span(F.lit(-1), F.lit(min(most, n)), F.lit(0))).alias("z")).select("query_id", "z.*"))
-    first = first.join(counts, "query_id").select("query_id", "doc_ord", (F.col("n_lex") + F.col("p")).alias("r_lex"))
-    final = found.groupBy("query_id").agg(tail).where("doc_ord IS NOT NULL").unionByName(untouched.select("query_id", F.lit(n - 1).alias("doc_ord"))).select("query_id", "doc_ord", F.lit(n).cast("long").alias("r_lex"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("query_id", "lex").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = blocks.select("query_id", "lex", "b", before.alias("before")).join(levels.select("query_id", "lex", above.alias("above")), ["query_id", "lex"])
+    start = start.select("query_id", "lex", "b", (F.col("above") + F.col("before")).alias("start"))
+    counts = levels.groupBy("query_id").agg(F.sum("keys").alias("n_key"))
 
-    seeds = heads.select("query_id", "doc_ord", "r_lex").unionByName(first).where(F.col("r_lex") <= config.seed_k)
+    found = blocks.select("query_id", "lex", "b", F.explode("heads").alias("h")).join(start, ["query_id", "lex", "b"])
+    heads = found.select("query_id", F.col("h.d").cast("int").alias("doc_ord"), F.col("lex").cast("double").alias("lex"), F.col("h.key").cast("double").alias("key"), (F.col("start") + F.col("h.pos")).alias("r_lex"))
+    seeds = heads.where(F.col("r_lex") <= config.seed_k).select("query_id", "doc_ord")
     links = documents.select("doc_ord", F.explode(F.array_distinct("neighbors")).alias("citation")).join(documents.select("citation", F.col("doc_ord").alias("target")), "citation").select("doc_ord", "target")
-    graph = seeds.join(links, "doc_ord").select("query_id", F.col("target").alias("doc_ord"), F.lit(1.0).alias("graph")).distinct()
-    shared = found.join(levels.select("query_id", "lex", "above"), ["query_id", "lex"]).select("query_id", "doc_ord", "lex", "key", (F.col("above") + F.col("pos")).alias("r_lex"))
-    led = graph.join(shared, ["query_id", "doc_ord"], "left")
-    gap = found.select("query_id", F.col("doc_ord").alias("from"), "next", "rn")
-    beyond = led.where("lex IS NULL").select("query_id", "doc_ord", "graph").join(counts, "query_id").join(gap, "query_id", "left").where("`from` IS NULL OR `from` < doc_ord")
-    beyond = beyond.groupBy("query_id", "doc_ord", "graph", "n_lex").agg(F.max(F.coalesce(F.col("rn") + 1, F.lit(0))).alias("b"))  # shared ones before it
-    missed = led.where("lex IS NULL").select("query_id", "doc_ord", "graph").join(beyond.select("query_id", "doc_ord", "b"), ["query_id", "doc_ord"], "left").join(counts, "query_id")
-    missed = missed.select("query_id", "doc_ord", (F.col("n_lex") + F.col("doc_ord") - F.coalesce("b", F.lit(0)) + 1).alias("r_lex"), "graph")
-
-    zero = lambda *c: [F.lit(0.0).alias(x) for x in c]
-    parts = [heads.select("*", *zero("graph")), led.where("lex IS NOT NULL").select("query_id", "doc_ord", "lex", "key", "r_lex", "graph"), missed.select("query_id", "doc_ord", *zero("lex", "key"), "r_lex", "graph")]
-    parts += [x.select("query_id", "doc_ord", *zero("lex", "key"), "r_lex", *zero("graph")) for x in (first, final)]
+    graph = materialise(seeds.join(links, "doc_ord").select(F.col("query_id").alias("q"), F.col("target").cast("long").alias("d")).distinct())
+    led = places(graph, asked, corpus, n).withColumnRenamed("q", "query_id").join(start, ["query_id", "lex", "b"])
+    led = led.select("query_id", F.col("d").cast("int").alias("doc_ord"), F.col("lex").cast("double").alias("lex"), F.col("key").cast("double").alias("key"), (F.col("start") + F.col("pos")).alias("r_lex"), F.lit(1.0).alias("graph"))
+    parts = [heads.withColumn("graph", F.lit(0.0)), led]
     rows = reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_ord").agg(*[F.max(c).alias(c) for c in ("lex", "key", "r_lex", "graph")])
+    by_ord = by_query.orderBy("doc_ord")
     before = by_ord.rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(counts, "query_id").withColumns({"r_key": F.row_number().over(by_query.orderBy(F.col("key").desc(), "doc_ord")), "b_key": F.coalesce(F.sum((F.col("key") > 0).cast("int")).over(before), F.lit(0))})
     # among those without a keyword, a document's place is its doc_ord less the documents with one before it
