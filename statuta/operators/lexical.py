@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.functions.text import tokens
-from statuta.operators.overlap import hashed, top_overlaps
+from statuta.functions.text import let, tokens
+from statuta.operators.overlap import hashed, top_overlaps, top_products
 from statuta.operators.scores import ordinals, top_k
 
 
@@ -28,22 +28,25 @@ def best_overlaps(queries: DataFrame, query: str, q_text: str, docs: DataFrame,
 
 def words(c: Column, n: int) -> Column:
     """Words of at least two characters, lower case, and all runs of up to ``n`` of them."""
-    one = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    grams = [one] + [F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(one) - (k - 1), F.lit(1))), lambda i: i + (k - 1) <= F.size(one)), lambda i, k=k: F.array_join(F.slice(one, i, k), " ")) for k in range(2, n + 1)]
-    return F.concat(*grams) if len(grams) > 1 else one
 
+    def runs(one: Column) -> Column:
+        run = lambda k: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(one) - (k - 1), F.lit(1))), lambda i: i + (k - 1) <= F.size(one)), lambda i: F.array_join(F.slice(one, i, k), " "))
+        return F.concat(one, *[run(k) for k in range(2, n + 1)])
 
-def term_weights(docs: DataFrame, doc: str, text: str, max_df: float = 0.9, max_features: int | None = None, ngrams: int = 1) -> tuple[DataFrame, DataFrame]:
+    return let(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), runs)
+
+
+def term_weights(docs: DataFrame, doc: str, text: str, max_df: float = 0.9, max_features: int | None = None, ngrams: int = 1, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
     """``(weights, vocabulary)``: ``doc, term, w`` with ``w = (1 + ln tf) * idf`` at length one per document, and
     ``term, idf`` with ``idf = 1 + ln((1 + N) / (1 + df))``.
 
-    Terms in more than ``max_df`` of the documents are left out; with ``max_features``, only the most frequent stay
+    Terms in more than ``max_df`` of the documents, or in fewer than ``min_df`` documents, are left out; with ``max_features``, only the most frequent stay
     (by total count, then by term).
     """
     bag = docs.where(F.col(doc).isNotNull()).select(F.col(doc), F.explode(words(F.col(text), ngrams)).alias("term"))
     tf = bag.groupBy(doc, "term").agg(F.count("*").alias("tf"))
     n = docs.where(F.col(doc).isNotNull()).count()
-    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") <= max_df * n)
+    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where((F.col("df") <= max_df * n) & (F.col("df") >= min_df))
     if max_features is not None:
         stats = stats.orderBy(F.col("total").desc(), "term").limit(max_features)
     vocabulary = stats.select("term", (1 + F.log((1 + F.lit(n)) / (1 + F.col("df")))).alias("idf"))
@@ -56,9 +59,13 @@ def weigh(tf: DataFrame, doc: str, vocabulary: DataFrame) -> DataFrame:
 
 
 def tfidf_top_k(queries: DataFrame, query: str, q_text: str, docs: DataFrame, doc: str, d_text: str, k: int, **options) -> DataFrame:
-    """``query, doc, score, rank``: the ``k`` documents with the largest cosine of TF-IDF weights above zero."""
+    """``query, doc, score, rank``: the ``k`` documents with the largest cosine of TF-IDF weights above zero, ties by
+    ``doc``. Blocks of both sides meet and give their best; no row is made for other pairs."""
     weights, vocabulary = term_weights(docs, doc, d_text, **options)
     bag = queries.where(F.col(query).isNotNull()).select(F.col(query), F.explode(words(F.col(q_text), options.get("ngrams", 1))).alias("term"))
     asked = weigh(bag.groupBy(query, "term").agg(F.count("*").alias("tf")), query, vocabulary)
-    both = asked.withColumnRenamed("w", "wq").join(weights, "term").groupBy(query, doc).agg(F.round(F.sum(F.col("wq") * F.col("w")), 9).alias("score")).where("score > 0")
-    return top_k(both, [query], k, F.col("score").desc(), F.col(doc))
+    pairs = lambda df, key: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("x")).select(key, hashed(F.col("x.term")).alias("words"), F.col("x.w").alias("weights"))
+    numbered = ordinals(pairs(weights, doc), doc).withColumn("d", F.col("ord") - 1)
+    found = top_products(pairs(asked, query).withColumnRenamed(query, "q"), numbered.select("d", "words", "weights"), numbered.count(), k)
+    best = top_k(found, ["q"], k, F.col("score").desc(), F.col("d"))
+    return best.join(numbered.select("d", doc), "d").select(F.col("q").alias(query), doc, "score", "rank")

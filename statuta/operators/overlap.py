@@ -64,6 +64,31 @@ def top_overlaps(questions: DataFrame, documents: DataFrame, total: int, k: int)
     return meet(questions, documents, total, kernel, f"q {dict(questions.dtypes)['q']}, d long, score double")
 
 
+def top_products(questions: DataFrame, documents: DataFrame, total: int, k: int, digits: int = 9) -> DataFrame:
+    """``q, d, score``: of each block the ``k`` documents with the largest sum, over shared words, of both weights, ties
+    by ``d``; only sums above zero. Both sides have ``words`` and ``weights``, in one order."""
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out, ids, lists = [], b["d"].to_numpy(), b["words"].to_list()
+        sizes = np.array([len(x) for x in lists], dtype=np.int64)
+        words = np.concatenate(lists) if sizes.sum() else np.zeros(0, np.int64)
+        by = np.argsort(words, kind="stable")
+        words, docs = words[by], np.repeat(np.arange(len(lists)), sizes)[by]
+        weights = (np.concatenate(b["weights"].to_list()) if sizes.sum() else np.zeros(0))[by]
+        for q, asked, own in zip(a["q"], a["words"], a["weights"]):
+            lo, hi = np.searchsorted(words, asked, "left"), np.searchsorted(words, asked, "right")
+            there = hi > lo
+            if not there.any():
+                continue
+            at = np.concatenate([np.arange(i, j) for i, j in zip(lo[there], hi[there])])
+            n = np.round(np.bincount(docs[at], weights=weights[at] * np.repeat(own[there], (hi - lo)[there]), minlength=len(lists)), digits)
+            best = np.argsort(-n, kind="stable")[:k]
+            out += [(q, ids[i], float(n[i])) for i in best if n[i] > 0]
+        return pd.DataFrame(out, columns=["q", "d", "score"])
+
+    return meet(questions, documents, total, kernel, f"q {dict(questions.dtypes)['q']}, d long, score double")
+
+
 LEVELS = "b long, lex long, size long, keys long, heads array<struct<d: long, key: long, pos: long>>"
 
 

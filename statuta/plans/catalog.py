@@ -21,15 +21,16 @@ from statuta.operators.dense import dense_rrf, dense_top_k
 from statuta.operators.diversify import mmr
 from statuta.operators.packed import split_packed
 from statuta.plans import court_retrieval as cr
+from statuta.plans import equivalents as eq
 from statuta.plans import law_cascade as lc
 from statuta.plans import problems
 from statuta.plans import rerank as rr
 from statuta.plans.pipeline import run_pipeline
-from statuta.plans.runtime import read_table
+from statuta.plans.runtime import materialise, read_table
 from statuta.sources import readers, sinks
 
 QUERIES = dict(problems.QUERIES)
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"p1_found": eq.P1_FOUND, "p1_report": eq.P1_REPORT}
 
 
 def query(sql: str | None = None):
@@ -163,13 +164,13 @@ def scrubbed_queries(s, d):
     return readers.sub_queries(read_table(s, d, "test", "test_id", "decomposed_queries_raw"), "test_id", "decomposed_queries_raw").withColumn("sub_query", t.scrub_query(F.col("sub_query")))
 
 
-@query()
+@query(eq.TRANSLATION_CHECKS)
 def translation_checks(s, d):
     rows = read_table(s, d, "test", "test_id", "query", "german_translation").withColumn("clean", t.clean_translation(F.col("german_translation")))
     return rows.select("test_id", "clean", F.array_join(t.translation_faults(F.col("query"), F.col("clean")), ";").alias("faults"))
 
 
-@query()
+@query(eq.DOCUMENT_PARTS)
 def document_parts(s, d):
     rows = read_table(s, d, "laws_db", "law_id", "document").withColumn("p", t.split_document(F.col("document")))
     return rows.select("law_id", F.col("p.title").alias("title"), F.length("p.body").alias("body_length"), F.array_join(t.genitives(t.law_name(F.col("p.title"))), ";").alias("names"))
@@ -194,10 +195,10 @@ def citation_lookup(s, d):
     return ex.citation_lookup(read_table(s, d, "laws_db", "citation"), "citation").select("book", "art", "abs")
 
 
-@query()
+@query(eq.LAW_MENTIONS)
 def law_mentions(s, d):
     docs = read_table(s, d, "documents", "doc_id", "text")
-    return ex.explicit_laws(docs, ["doc_id"], "text", ex.citation_lookup(read_table(s, d, "laws_db", "citation"), "citation"))
+    return ex.explicit_laws(docs, ["doc_id"], "text", ex.citation_lookup(read_table(s, d, "laws_db", "citation"), "citation")).select("doc_id", "pos", "citation").distinct()
 
 
 def _aliases(s, d):
@@ -205,13 +206,13 @@ def _aliases(s, d):
     return ex.name_aliases(titles, "title", "book_code", "o", ex.FIXED_NAMES)
 
 
-@query()
+@query(eq.ALL_LAW_MENTIONS)
 def all_law_mentions(s, d):
     laws = read_table(s, d, "laws_db", "citation")
-    return ex.all_laws(read_table(s, d, "documents", "doc_id", "text"), "doc_id", "text", ex.citation_lookup(laws, "citation"), _aliases(s, d))
+    return ex.all_laws(read_table(s, d, "documents", "doc_id", "text"), "doc_id", "text", ex.citation_lookup(laws, "citation"), _aliases(s, d)).drop("place")
 
 
-@query()
+@query(eq.COURT_REFERENCES)
 def court_references(s, d):
     docs = read_table(s, d, "documents", "citation", "text").where("citation IS NOT NULL")
     return ex.court_references(docs, "citation", "text")
@@ -223,21 +224,43 @@ def rebuilt_corpus(s, d):
     return ex.rebuild_corpus(docs, "doc", "text", ex.citation_lookup(read_table(s, d, "laws_db", "citation"), "citation"), "doc_id")
 
 
-@query()
+@query(eq.LAW_EDGES)
 def law_edges(s, d):
     docs = read_table(s, d, "documents", "citation", "text").where(F.col("citation").startswith("Art."))
-    return ex.law_edges(docs, "citation", "text", ex.citation_lookup(read_table(s, d, "laws_db", "citation"), "citation"), _aliases(s, d))
+    return ex.law_edges(docs, "citation", "text", ex.citation_lookup(read_table(s, d, "laws_db", "citation"), "citation"), _aliases(s, d)).drop("mention")
 
 
-@query()
+@query(eq.QUERY_HINTS)
 def query_hints(s, d):
-    rows = read_table(s, d, "test", "test_id", "query", "german_translation", "pre_citations", "pre_near_matches")
-    return ex.query_hints(rows, "test_id", "pre_near_matches", "pre_citations", ["query", "german_translation"], read_table(s, d, "laws_db", "citation"), "citation")
+    rows = read_table(s, d, "test", "test_id", "query", "german_translation", "decomposed_queries_raw", "pre_citations", "pre_near_matches")
+    return ex.query_hints(rows, "test_id", "pre_near_matches", "pre_citations", ["query", "german_translation", "decomposed_queries_raw"], read_table(s, d, "laws_db", "citation"), "citation").drop("place")
 
 
-@query()
+@query(eq.QUERY_MENTIONS)
 def query_mentions(s, d):
-    return ex.query_mentions(read_table(s, d, "test", "test_id", "pre_citations"), "test_id", "pre_citations", ex.article_index(read_table(s, d, "laws_db", "citation"), "citation"))
+    asked = read_table(s, d, "test", "test_id", "query", "pre_citations").select("test_id", F.concat_ws("\n", "query", "pre_citations").alias("t"))
+    found = ex.articles(ex.phrases(asked, ["test_id"], "t"), "chain", ["test_id", "pos", "book"])
+    near = ex.article_index(read_table(s, d, "laws_db", "citation"), "citation").select("book", "art", F.size("citations").cast("long").alias("near"))
+    return found.join(near, ["book", "art"], "left").select("test_id", "pos", "art", "abs", "book", F.coalesce("near", F.lit(0)).alias("near")).distinct()
+
+
+@query()
+def hints_compared(s, d):
+    """Hint columns made anew from the queries, against the given ones."""
+    test = read_table(s, d, "test", "test_id", "query", "pre_citations", "pre_near_matches")
+    made = ex.pre_citation_columns(test, "test_id", "query", ex.article_index(read_table(s, d, "laws_db", "citation"), "citation"))
+    return ex.compare_generated(test, made, "test_id", ["pre_citations", "pre_near_matches"])
+
+
+@query()
+def unmatched_law_names(s, d):
+    texts = read_table(s, d, "documents", "text").unionByName(read_table(s, d, "laws_db", "document").withColumnRenamed("document", "text"))
+    return ex.unmatched_names(texts, "text", _aliases(s, d))
+
+
+@query()
+def normalised_sub_issues(s, d):
+    return read_table(s, d, "test", "test_id", "decomposed_queries_raw").select("test_id", t.normalise_sub_issues(F.col("decomposed_queries_raw")).alias("decomposed"))
 
 
 # ---------------------------------------------------------------- rankings and scores
@@ -452,7 +475,12 @@ def centroid(s, d):
     return v.centroids(subs, ["query_id"], "zembed_embedding").select("query_id", F.round(F.col("centroid")[0], 6).alias("c1"), F.round(F.col("centroid")[63], 6).alias("c64"))
 
 
-@query()
+_ONE_V = f"SELECT citation, min(embedding) AS e FROM laws_db WHERE {_FINE('embedding')} GROUP BY 1"
+_PER_DOMAIN = f"""SELECT CASE WHEN title <> '' THEN title ELSE 'UNKNOWN_TITLE::' || coalesce(source_book, '') END AS domain, source_book, embedding FROM (SELECT {eq._TITLE} AS title, source_book, embedding FROM laws_db WHERE {_FINE('embedding')})"""
+
+
+@query(f"""SELECT m.domain, b.book_code, m.n, round(m.c1, 6) AS c1 FROM (SELECT domain, max(n) AS n, max(CASE WHEN pos = 1 THEN x END) / greatest(sqrt(sum(x * x)), 1e-12) AS c1 FROM (SELECT domain, pos, avg(x) AS x, count(*) AS n FROM (SELECT domain, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM ({_PER_DOMAIN})) GROUP BY 1, 2) GROUP BY 1) m
+JOIN (SELECT domain, source_book AS book_code FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY c DESC, source_book NULLS FIRST) AS k FROM (SELECT domain, source_book, count(*) AS c FROM ({_PER_DOMAIN}) GROUP BY 1, 2)) WHERE k = 1) b USING (domain)""")
 def domain_centroids(s, d):
     laws = read_table(s, d, "laws_db", "document", "source_book", "embedding").where(v.usable(F.col("embedding"), 64)).withColumn("title", t.split_document(F.col("document"))["title"])
     return lc.domain_vectors(laws, "title", "source_book", "embedding").select("domain", "book_code", "n", F.round(F.col("centroid")[0], 6).alias("c1"))
@@ -468,10 +496,15 @@ def lexical_overlap(s, d):
     return lx.best_overlaps(read_table(s, d, "test", "test_id", "query"), "test_id", "query", read_table(s, d, "laws_db", "law_id", "document"), "law_id", "document", 10).drop("rank")
 
 
-@query()
+_GRAMS = lambda key, table, col: f"SELECT {key}, unnest(list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]))) AS term FROM (SELECT {key}, regexp_extract_all(lower(coalesce({col}, '')), '[\\pL\\pN_][\\pL\\pN_]+') AS l FROM {table})"
+_TFW = lambda key, bag: f"SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM (SELECT {key}, term, (1 + ln(count(*))) * any_value(idf) AS w FROM ({bag}) JOIN voc USING (term) GROUP BY 1, 2)"
+
+
+@query(f"""WITH db AS MATERIALIZED ({_GRAMS('law_id', 'laws_db', 'document')}), voc AS MATERIALIZED (SELECT term, 1 + ln((1 + (SELECT count(*) FROM laws_db))::DOUBLE / (1 + count(DISTINCT law_id))) AS idf FROM db GROUP BY 1 HAVING count(DISTINCT law_id) BETWEEN 2 AND 0.9 * (SELECT count(*) FROM laws_db))
+SELECT test_id, law_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY score DESC, law_id) AS rank FROM (SELECT q.test_id, c.law_id, round(sum(q.w * c.w), 9) AS score FROM ({_TFW('test_id', _GRAMS('test_id', 'test', 'query || chr(10) || coalesce(german_translation, chr(32))'))}) q JOIN ({_TFW('law_id', 'SELECT * FROM db')}) c USING (term) GROUP BY 1, 2)) WHERE rank <= 5 AND score > 0""")
 def tfidf_lexical(s, d):
-    docs = read_table(s, d, "domains", "domain_id", "book_description", "title").select("domain_id", F.concat_ws(" ", "title", "book_description").alias("text"))
-    return lx.tfidf_top_k(read_table(s, d, "test", "test_id", "query"), "test_id", "query", docs, "domain_id", "text", 5, ngrams=2)
+    asked = read_table(s, d, "test", "test_id", "query", "german_translation").select("test_id", F.concat("query", F.lit("\n"), F.coalesce("german_translation", F.lit(" "))).alias("text"))
+    return lx.tfidf_top_k(asked, "test_id", "text", read_table(s, d, "laws_db", "law_id", "document"), "law_id", "document", 5, ngrams=2, min_df=2)
 
 
 # ---------------------------------------------------------------- pipeline
@@ -502,16 +535,54 @@ def ranking_pipeline(s, d):
     return run_pipeline(*_pipeline_input(s, d))
 
 
+def _subs(s, d):
+    return read_table(s, d, "test_sub_query_zembed", "sub_row_id", "query_id", "zembed_embedding").where("query_id IS NOT NULL")
+
+
+_SUB200 = _dense(_SUBS_V.replace("sub_row_id", "query_id || '#' || sub_row_id AS id").replace(", query_id,", ",") + " AND query_id IS NOT NULL", "id", _LAWS_V, "citation", 200)
+
+
+@query(f"SELECT query_id, citation, rrf, best, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, best DESC, citation DESC) AS rank FROM (SELECT string_split(id, '#')[1] AS query_id, citation, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, max(cos) AS best FROM ({_SUB200}) GROUP BY 1, 2)")
+def subquery_ranking(s, d):
+    return lc.rank_by_subqueries(_subs(s, d), "query_id", "sub_row_id", "zembed_embedding", _laws_v(s, d), "citation", "embedding")
+
+
+def _book_sets(rows):
+    return co.citing_sets(rows.withColumn("item", t.citation_book(F.col("item"))), "doc", "item")
+
+
+def _book_network(rows):
+    sets = _book_sets(rows)
+    return co.confidence(co.pair_counts(sets), co.support(sets, 1), 2)
+
+
+_GOLD_BOOKS = f"SELECT DISTINCT doc, regexp_extract(item, '{_FORM}', 3) AS item FROM ({_GOLD}) WHERE regexp_matches(item, '{_FORM}')"
+
+
+@query(f"SELECT p.src, p.dst, round(p.n::DOUBLE / t.docs, 6) AS weight FROM (SELECT a.item AS src, b.item AS dst, count(*) AS n FROM ({_GOLD_BOOKS}) a JOIN ({_GOLD_BOOKS}) b ON a.doc = b.doc AND a.item <> b.item GROUP BY 1, 2 HAVING count(*) >= 2) p JOIN (SELECT item AS src, count(*) AS docs FROM ({_GOLD_BOOKS}) GROUP BY 1) t USING (src)")
+def gold_book_network(s, d):
+    return _book_network(_gold(s, d)).select("src", "dst", r6("weight"))
+
+
 @query()
 def law_cascade(s, d):
-    ranked = _ranked(s, d, 50).select("query_id", "citation", "rank")
-    test = read_table(s, d, "test", "query_id", "query", "german_translation", "pre_citations", "pre_near_matches")
-    exact = ex.query_hints(inc.newest(test.withColumn("o", F.length("query")), ["query_id"], "o", "query"), "query_id", "pre_near_matches", "pre_citations", ["query", "german_translation"], read_table(s, d, "laws_db", "citation"), "citation")
-    books = exact.select("query_id", t.citation_book(F.col("citation")).alias("book")).where("book IS NOT NULL").distinct()
-    head = ranked.withColumn("book", t.citation_book(F.col("citation"))).where("book IS NOT NULL AND rank <= 10")
-    near = head.select("query_id", F.col("book").alias("domain"), "book", (1.0 / F.col("rank")).alias("cos"), "rank")
-    network = lc.book_scores(lc.book_seeds(near, "query_id"), books, "query_id", [_network(s, d)])
-    return lc.law_cascade(ranked, "query_id", exact, books, network, _whole_edges(s, d), _conf(s, d), _tfidf(s, d), lc.CascadeConfig(per_subquery=50)).select("query_id", "citation", "rank", r6("score"))
+    """Dense ranking of the sub-queries, hints, graph, anchors, three book networks, co-citation."""
+    laws = read_table(s, d, "laws_db", "citation", "document", "source_book", "embedding")
+    ranked = lc.rank_by_subqueries(_subs(s, d), "query_id", "sub_row_id", "zembed_embedding", _laws_v(s, d), "citation", "embedding")
+    ranked = materialise(ranked.where("rank <= 200").select("query_id", "citation", "rank"))
+    test = read_table(s, d, "test", "query_id", "query", "german_translation", "decomposed_queries_raw", "pre_citations", "pre_near_matches").where("query_id IS NOT NULL")
+    test, texts = inc.newest(test.withColumn("o", F.length("query")), ["query_id"], "o", "query"), ["query", "german_translation", "decomposed_queries_raw"]
+    exact = ex.query_hints(test, "query_id", "pre_near_matches", "pre_citations", texts, laws, "citation")
+    books = ex.hinted_books(test, "query_id", ["pre_citations", "pre_near_matches"], texts, laws.select(t.citation_book(F.col("citation")).alias("book")).where("book IS NOT NULL"))
+    domains = lc.domain_vectors(laws.where(v.usable(F.col("embedding"), 64)).withColumn("title", t.split_document(F.col("document"))["title"]), "title", "source_book", "embedding")
+    asked = _subs(s, d).select(F.concat("query_id", F.lit("#"), "sub_row_id").alias("id"), "zembed_embedding")
+    near = dense_top_k(asked, "id", "zembed_embedding", domains, "domain", "centroid", 10).withColumn("query_id", F.substring_index("id", "#", 1))
+    near = near.join(domains.select("domain", F.col("book_code").alias("book")), "domain").where("book IS NOT NULL")
+    cited = ex.explicit_laws(read_table(s, d, "documents", "doc_id", "text"), ["doc_id"], "text", ex.citation_lookup(laws, "citation")).select(F.col("doc_id").alias("doc"), F.col("citation").alias("item"))
+    network = materialise(lc.book_scores(lc.book_seeds(near, "query_id"), books, "query_id", [_network(s, d), _book_network(_gold(s, d)), _book_network(cited)]))
+    sets = materialise(_sets(s, d))
+    pairs = materialise(co.pair_counts(sets))
+    return lc.law_cascade(ranked, "query_id", exact, books, network, _whole_edges(s, d), co.confidence(pairs, co.support(sets, 2)), co.tfidf(pairs, sets), lc.CascadeConfig()).select("query_id", "citation", "rank", r6("score"))
 
 
 # ---------------------------------------------------------------- courts
@@ -537,6 +608,32 @@ def near_courts(s, d):
     return _near(s, d)
 
 
+_COURT_V = f"SELECT test_id::VARCHAR AS court, {_UNIT('zembed_full_german_query')} AS v FROM test WHERE {_FINE('zembed_full_german_query')}"
+_WHOLE_Q = f"SELECT query_id, {_UNIT('zembed_full_german_query')} AS v FROM test WHERE query_id IS NOT NULL AND {_FINE('zembed_full_german_query')}"
+_NEAR_WHOLE = _dense(_WHOLE_Q, "query_id", _COURT_V, "court", 20)
+_NEAR_EACH = _dense(_SUBS_V.replace("sub_row_id", "query_id || '#' || sub_row_id AS id").replace(", query_id,", ",") + " AND query_id IS NOT NULL", "id", _COURT_V, "court", 20)
+_MODE_SQL = {
+    "english-query": f"SELECT query_id, court, cos FROM ({_NEAR_WHOLE})",
+    "german-query": f"SELECT query_id, court, cos FROM ({_NEAR_WHOLE})",
+    "per-subquery": f"SELECT string_split(id, '#')[1] AS query_id, court, max(cos) AS cos FROM ({_NEAR_EACH}) GROUP BY 1, 2",
+    **{m: f"SELECT query_id, court, arg_min(cos, src) AS cos FROM (SELECT query_id, court, cos, 0 AS src FROM ({_NEAR}) UNION ALL SELECT query_id, court, cos, 1 FROM ({_NEAR_WHOLE})) GROUP BY 1, 2" for m in ("union-avg-full", "union-avg-german", "union-all-three")},
+}
+
+
+def _court_mode(mode: str):
+    def run(s, d):
+        subs = read_table(s, d, "test_sub_query_zembed", "query_id", "zembed_embedding").where(F.col("query_id").isNotNull() & v.usable(F.col("zembed_embedding"), 64))
+        courts = read_table(s, d, "test", "test_id", "query_id", "zembed_full_german_query").withColumn("court", F.col("test_id").cast("string"))
+        return cr.near_courts(courts.where("query_id IS NOT NULL"), "zembed_full_german_query", subs, "zembed_embedding", courts, "court", "zembed_full_german_query", cr.CourtConfig(mode=mode, top_courts=20))
+
+    run.__name__ = "courts_" + mode.replace("-", "_")
+    return run
+
+
+for _mode, _sql in _MODE_SQL.items():
+    query(_sql)(_court_mode(_mode))
+
+
 @query(f"SELECT n.query_id, b.citation, round(sum(n.cos) / ln(1 + max(g.degree)), 9) AS score FROM ({_NEAR}) n JOIN ({_BAG}) b USING (court) JOIN (SELECT citation, count(*) AS degree FROM ({_BAG}) GROUP BY 1) g USING (citation) GROUP BY 1, 2")
 def court_path_score(s, d):
     return cr.court_path(_near(s, d), "court", _court_refs(s, d)).select("query_id", "citation", "score")
@@ -608,13 +705,16 @@ def family_expand(s, d):
     return sel.expand_first_parent(_ranked(s, d, 20).select("query_id", "citation", "score"), ["query_id"], "citation", "score", links, 0.5, 2, 5).select("query_id", "citation", r6("score"))
 
 
-@query()
+@query(f"SELECT c.query_id, c.citation, round(max(round(list_dot_product(a.v, b.v), 9)), 6) AS score FROM (SELECT * FROM ({_RANKED}) WHERE rank <= 20) c JOIN (SELECT citation, {_UNIT('e')} AS v FROM ({_ONE_V})) a USING (citation) JOIN (SELECT r.query_id, v FROM ({_RANKED}) r JOIN (SELECT citation, {_UNIT('e')} AS v FROM ({_ONE_V})) USING (citation) WHERE r.rank <= 3) b ON b.query_id = c.query_id GROUP BY 1, 2")
 def seed_similarity(s, d):
     laws = read_table(s, d, "laws_db", "citation", "embedding").where(v.usable(F.col("embedding"), 64)).groupBy("citation").agg(F.min("embedding").alias("v"))
     return cr.seed_similarity(_ranked(s, d, 20), _ranked(s, d, 3), laws, "max").select("query_id", "citation", r6("score"))
 
 
-@query()
+@query(f"""WITH m AS (SELECT query_id, pos, avg(x) AS x FROM (SELECT r.query_id, unnest(e)::DOUBLE AS x, generate_subscripts(e, 1) AS pos FROM ({_RANKED}) r JOIN ({_ONE_V}) USING (citation) WHERE r.rank <= 3) GROUP BY 1, 2),
+q AS (SELECT query_id, unnest(e)::DOUBLE AS x, generate_subscripts(e, 1) AS pos FROM (SELECT query_id, min(zembed_full_german_query) AS e FROM test WHERE {_FINE('zembed_full_german_query')} GROUP BY 1)),
+b AS (SELECT q.query_id, q.pos, q.x AS own, 0.7 * q.x + 0.3 * c.x AS x FROM q LEFT JOIN (SELECT query_id, pos, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY query_id)), 1e-12) AS x FROM m) c ON c.query_id = q.query_id AND c.pos = q.pos)
+SELECT query_id, round(coalesce(max(CASE WHEN pos = 1 THEN x END) / greatest(sqrt(sum(x * x)), 1e-12), max(CASE WHEN pos = 1 THEN own END)), 6) AS v1 FROM b GROUP BY 1""")
 def steered_queries(s, d):
     laws = read_table(s, d, "laws_db", "citation", "embedding").where(v.usable(F.col("embedding"), 64)).groupBy("citation").agg(F.min("embedding").alias("v"))
     q = read_table(s, d, "test", "query_id", "zembed_full_german_query").where(v.usable(F.col("zembed_full_german_query"), 64)).groupBy("query_id").agg(F.min("zembed_full_german_query").alias("v"))
