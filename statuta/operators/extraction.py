@@ -25,7 +25,7 @@ _DETAIL = rf"(?:{_S}*(?:,|und|oder|et)?{_S}*(?:{_PARAGRAPH}{_S}*{_NUMBERS}|{_BEL
 _LINK = rf"{_S}*,?{_S}*(?:in{_S}+Verbindung{_S}+mit|i\.?{_S}?V\.?{_S}?m\.?){_S}*"
 _UNIT = rf"{_ARTICLE}{_S}*{_NUMBERS}{_DETAIL}"
 #: A book: a word with a capital, of any length, perhaps with footnote digits or a second word in capitals; or a number.
-BOOK = rf"(?:[A-ZÄÖÜ][A-Za-zÄÖÜäöüàâçèéêëîïôûùß]*[0-9]{{0,3}}(?:{_S}[A-Z]{{2,}})?|[0-9]{{3}}(?:\.[0-9]+)+)"
+BOOK = rf"(?:[A-ZÄÖÜ][A-Za-zÄÖÜäöüàâçèéêëîïôûùß]*[0-9]{{0,3}}(?:[ \x{{00a0}}][A-Z]{{2,}})?|[0-9]{{3}}(?:\.[0-9]+)+)"
 #: Groups: the linked articles, the book. SQL knows no look-ahead and has to leave out phrases with noise afterwards.
 PHRASE_SQL = rf"(?:^|[^A-Za-z0-9_])({_UNIT}(?:{_LINK}{_UNIT})*){_S}+({BOOK})"
 PHRASE = rf"(?:^|[^A-Za-z0-9_])({_UNIT}(?:{_LINK}{_UNIT})*){_S}+((?!(?i:{'|'.join(NOISE_BOOKS)})(?![A-Za-z])){BOOK})"

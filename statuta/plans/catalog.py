@@ -904,3 +904,52 @@ def ordered_union(s, d):
 def event_counts(s, d):
     return read_table(s, d, "events", "event_type").groupBy("event_type").agg(F.count("*").alias("n"))
 
+
+
+# ---------------------------------------------------------------- hints, several readings of one table
+
+@query(f"SELECT query_id, max(CASE WHEN rank = 1 THEN citation END) AS first, count(*) AS n FROM ({_RANKED}) WHERE rank <= 200 GROUP BY 1")
+def list_heads(s, d):
+    return _ranked(s, d, 200).groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("citation"))).alias("first"), F.count("*").alias("n"))
+
+
+_OVERLAP = f"SELECT n.query_id, n.court, round(n.cos + 0.05 * coalesce(o.n, 0), 9) AS cos FROM ({_NEAR}) n LEFT JOIN (SELECT r.query_id, b.court, count(*) AS n FROM (SELECT DISTINCT query_id, citation FROM ({_RANKED}) WHERE rank <= 5) r JOIN (SELECT DISTINCT court, citation FROM ({_BAG})) b USING (citation) GROUP BY 1, 2) o USING (query_id, court)"
+
+
+@query(_OVERLAP)
+def court_overlap_boost(s, d):
+    return cr.overlap_boost(_near(s, d), "court", _court_refs(s, d), _ranked(s, d, 5), 0.05).select("query_id", "court", F.round("cos", 9).alias("cos"))
+
+
+@query(f"SELECT query_id, citation, round(sum(score), 6) AS score FROM (SELECT query_id, citation, score FROM ({_RANKED}) UNION ALL SELECT DISTINCT t.query_id, t.citation, 0.1 FROM (SELECT query_id, trim(unnest(string_split(pre_citations, ';'))) AS citation FROM test WHERE query_id IS NOT NULL) t WHERE t.citation <> '') GROUP BY 1, 2")
+def listed_boost(s, d):
+    listed = read_table(s, d, "test", "query_id", "pre_citations").where("query_id IS NOT NULL").select("query_id", F.explode(t.split_list(F.col("pre_citations"))).alias("citation"))
+    return cr.boost_listed(_ranked(s, d).select("query_id", "citation", "score"), listed, 0.1).select("query_id", "citation", r6("score"))
+
+
+@query(f"SELECT query_id, regexp_extract(citation, '{_FORM}', 3) AS book, round(sum(score), 6) AS total, round(max(score), 6) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, citation) AS k FROM ({_RANKED})) WHERE k <= 10 AND regexp_matches(citation, '{_FORM}') GROUP BY 1, 2")
+def best_per_book(s, d):
+    return lc.best_per_book(_ranked(s, d).select("query_id", "citation", "score"), "query_id", 10).select("query_id", "book", r6("total"), r6("best"))
+
+
+_WHOLE_NEAR = _dense(_WHOLE_Q, "query_id", _LAWS_V, "citation", 50)
+_POOL = f"SELECT query_id, citation FROM ({_RANKED}) WHERE rank <= 20"
+
+
+@query(f"SELECT query_id, citation FROM ({_POOL}) UNION ALL SELECT query_id, citation FROM (SELECT n.query_id, n.citation, row_number() OVER (PARTITION BY n.query_id ORDER BY n.rank, n.citation) AS k FROM ({_WHOLE_NEAR}) n ANTI JOIN ({_POOL}) p USING (query_id, citation)) WHERE k <= 5")
+def cosine_pool(s, d):
+    asked = read_table(s, d, "test", "query_id", "zembed_full_german_query").where("query_id IS NOT NULL")
+    near = dense_top_k(asked, "query_id", "zembed_full_german_query", _laws_v(s, d), "citation", "embedding", 50)
+    return cr.inject_by_cosine(_ranked(s, d, 20), near, 5)
+
+
+_CENTRE_LAW = f"SELECT court, pos, avg(x) AS x FROM (SELECT b.court, unnest(l.e)::DOUBLE AS x, generate_subscripts(l.e, 1) AS pos FROM (SELECT DISTINCT court, citation FROM ({_BAG})) b JOIN ({_ONE_V}) l USING (citation)) GROUP BY 1, 2"
+
+
+@query(f"""WITH m AS (SELECT court, pos, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY court)), 1e-12) AS x FROM ({_CENTRE_LAW})), o AS (SELECT court, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM ({_COURT_V})),
+b AS (SELECT o.court, o.pos, o.x AS own, 0.7 * o.x + 0.3 * m.x AS x FROM o LEFT JOIN m USING (court, pos))
+SELECT court, round(coalesce(max(CASE WHEN pos = 1 THEN x END) / greatest(sqrt(sum(x * x)), 1e-12), max(CASE WHEN pos = 1 THEN own END)), 6) AS v1 FROM b GROUP BY 1""")
+def enriched_courts(s, d):
+    laws = read_table(s, d, "laws_db", "citation", "embedding").where(v.usable(F.col("embedding"), 64)).groupBy("citation").agg(F.min("embedding").alias("v"))
+    courts = read_table(s, d, "test", "test_id", "zembed_full_german_query").where(v.usable(F.col("zembed_full_german_query"), 64)).withColumn("court", F.col("test_id").cast("string"))
+    return cr.enrich_courts(courts, "court", "zembed_full_german_query", _court_refs(s, d), laws, 0.3).select("court", F.round(F.col("v")[0], 6).alias("v1"))

@@ -16,17 +16,25 @@ def _numbers(x: str) -> str:
     return f"list_distinct(list_concat(flatten(list_transform(string_split_regex(lower({x}), '{LIST_MARK}'), lambda y: {through})), regexp_extract_all(lower({x}), '{NUMBER}')))"
 
 
-def phrases(key: str, table: str, text: str) -> str:
+def _quiet(pattern: str) -> str:
+    """The grammar over a text whose words for subdivisions are in lower case, so that none can be a book."""
+    for word in ("Abs", "Bst", "Buchstabe", "Ziff", "Satz"):
+        pattern = pattern.replace(word, word.lower())
+    return pattern
+
+
+def phrases(key: str, table: str, text: str, form: str = ex.PHRASE_SQL) -> str:
     noise = ", ".join(f"'{n}'" for n in NOISE_BOOKS)
-    return f"""SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY pos) - 1 AS pos, regexp_extract(m, '{ex.PHRASE_SQL}', 1) AS chain, regexp_extract(m, '{ex.PHRASE_SQL}', 2) AS book FROM (SELECT {key}, unnest(l) AS m, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT {key}, regexp_extract_all({text}, '{ex.PHRASE_SQL}') AS l FROM {table}))
-WHERE upper(regexp_extract(regexp_extract(m, '{ex.PHRASE_SQL}', 2), '^\\S+')) NOT IN ({noise})"""
+    return f"""SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY pos) - 1 AS pos, regexp_extract(m, '{form}', 1) AS chain, regexp_extract(m, '{form}', 2) AS book FROM (SELECT {key}, unnest(l) AS m, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT {key}, regexp_extract_all({text}, '{form}') AS l FROM {table}))
+WHERE upper(regexp_extract(regexp_extract(m, '{form}', 2), '^\\S+')) NOT IN ({noise})"""
 
 
-def articles(key: str, found: str) -> str:
+def articles(key: str, found: str, tune=lambda p: p) -> str:
     """``key.., art, abs`` of ``found(key.., chain)``."""
+    unit, paragraphs = tune(ex.UNIT), tune(ex.PARAGRAPHS)
     return f"""SELECT {key}, art, unnest(CASE WHEN i = n AND len(p) > 0 THEN p ELSE [''] END) AS abs FROM (SELECT {key}, p, len(a) AS n, unnest(a) AS art, generate_subscripts(a, 1) AS i FROM
-(SELECT {key}, {_numbers("regexp_extract(u, '" + ex.UNIT + "', 1)")} AS a, list_distinct(flatten(list_transform(regexp_extract_all(regexp_extract(u, '{ex.UNIT}', 2), '{ex.PARAGRAPHS}', 1), lambda q: {_numbers('q').replace('lambda y', 'lambda yy').replace('(y,', '(yy,')}))) AS p
-FROM (SELECT {key}, unnest(regexp_extract_all(chain, '{ex.UNIT}')) AS u FROM ({found}))))"""
+(SELECT {key}, {_numbers("regexp_extract(u, '" + unit + "', 1)")} AS a, list_distinct(flatten(list_transform(regexp_extract_all(regexp_extract(u, '{unit}', 2), '{paragraphs}', 1), lambda q: {_numbers('q').replace('lambda y', 'lambda yy').replace('(y,', '(yy,')}))) AS p
+FROM (SELECT {key}, unnest(regexp_extract_all(chain, '{unit}')) AS u FROM ({found}))))"""
 
 
 _PARTS = f"SELECT DISTINCT citation, regexp_extract(citation, '{FORM}', 3) AS b, regexp_extract(citation, '{FORM}', 1) AS a, regexp_extract(citation, '{FORM}', 2) AS p FROM laws_db WHERE regexp_matches(citation, '{FORM}')"
@@ -36,6 +44,7 @@ UNION ALL SELECT book, art, '', coalesce(own, 'Art. ' || s.a || ' ' || s.b) FROM
 
 def candidates(book: str) -> str:
     """What a written book may mean, in order."""
+    book = f"regexp_replace({book}, '[\\s\\x{{a0}}]+', ' ', 'g')"
     bare = lambda x: f"upper(regexp_replace(regexp_replace({x}, '^[\\s.,;:()\\[\\]]+', ''), '[\\s.,;:()\\[\\]]+$', ''))"
     alias = lambda x: f"CASE {bare(x)} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in BOOK_ALIASES.items()) + f" ELSE {bare(x)} END"
     first, cut = f"string_split({book}, ' ')[1]", lambda x: f"regexp_replace({x}, '(\\pL)\\d{{1,3}}$', '\\1')"
@@ -63,14 +72,17 @@ _TEXTS = "(SELECT test_id, concat_ws(chr(10), query, german_translation, decompo
 _LISTED = " UNION ALL ".join(f"SELECT test_id, trim(x) AS citation FROM (SELECT test_id, unnest(string_split({c}, ';')) AS x FROM test)" for c in ("pre_near_matches", "pre_citations"))
 QUERY_HINTS = f"SELECT DISTINCT test_id, citation FROM ({_LISTED} UNION ALL SELECT test_id, citation FROM ({laws('test_id', _TEXTS, 't')})) WHERE citation IN (SELECT citation FROM laws_db)"
 
-_ROWS = f"(SELECT citation AS source, text AS t, regexp_extract(citation, '{FORM}', 3) AS own FROM documents WHERE starts_with(citation, 'Art.') AND text IS NOT NULL)"
-_SPOKEN = phrases("source, own", _ROWS, "t")
+_TEXT = "text"
+for _word in ("Absatz", "Abs", "Bst", "Buchstaben", "Buchstabe", "BST", "Ziffer", "Ziff", "Satz", "Und", "Oder"):
+    _TEXT = f"regexp_replace({_TEXT}, '\\b{_word}\\b', '{_word.lower()}', 'g')"
+_ROWS = f"(SELECT citation AS source, {_TEXT} AS t, regexp_extract(citation, '{FORM}', 3) AS own FROM documents WHERE starts_with(citation, 'Art.') AND text IS NOT NULL)"
+_SPOKEN = phrases("source, own", _ROWS, "t", _quiet(ex.PHRASE_SQL))
 _KNOWN = f"SELECT DISTINCT book FROM (SELECT book, unnest(c) AS b FROM (SELECT DISTINCT book, {candidates('book')} AS c FROM ({_SPOKEN}))) WHERE b IN (SELECT book FROM ({LOOKUP}))"
-_EXPLICIT = resolved("source", articles("source, book", f"SELECT * FROM ({_SPOKEN}) WHERE book IN ({_KNOWN})"))
-_REST = f"(SELECT source, own, regexp_replace(t, '{ex.PHRASE_SQL}', ' ; ', 'g') AS t FROM {_ROWS})"
-_BARE = f"SELECT source, own AS book, chain FROM ({_SPOKEN}) WHERE book NOT IN ({_KNOWN}) AND own <> '' UNION ALL SELECT source, own AS book, unnest(regexp_extract_all(t, '(?:^|[^A-Za-z0-9_])({ex._UNIT})', 1)) AS chain FROM {_REST} WHERE own <> ''"
+_EXPLICIT = resolved("source", articles("source, book", f"SELECT * FROM ({_SPOKEN}) WHERE book IN ({_KNOWN})", _quiet))
+_REST = f"(SELECT source, own, regexp_replace(t, '{_quiet(ex.PHRASE_SQL)}', ' ; ', 'g') AS t FROM {_ROWS})"
+_BARE = f"SELECT source, own AS book, chain FROM ({_SPOKEN}) WHERE book NOT IN ({_KNOWN}) AND own <> '' UNION ALL SELECT source, own AS book, unnest(regexp_extract_all(t, '(?:^|[^A-Za-z0-9_])({_quiet(ex._UNIT)})', 1)) AS chain FROM {_REST} WHERE own <> ''"
 LAW_EDGES = f"""SELECT source, target, min(kind) AS kind, nullif(regexp_extract(source, '{FORM}', 3), '') AS source_book, regexp_extract(target, '{FORM}', 3) AS target_book FROM
-(SELECT source, citation AS target, 'explicit' AS kind FROM ({_EXPLICIT}) UNION ALL SELECT source, citation, 'internal' FROM ({resolved('source', articles('source, book', _BARE))})) WHERE source <> target GROUP BY 1, 2"""
+(SELECT source, citation AS target, 'explicit' AS kind FROM ({_EXPLICIT}) UNION ALL SELECT source, citation, 'internal' FROM ({resolved('source', articles('source, book', _BARE, _quiet))})) WHERE source <> target GROUP BY 1, 2"""
 
 _MATCHES = lambda p: f"SELECT citation, unnest(l) AS m, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT citation, regexp_extract_all(text, '{p}') AS l FROM documents WHERE citation IS NOT NULL)"
 _DOCKET = lambda x: f"CASE WHEN contains({x}, '.') AND NOT contains({x}, '_') THEN regexp_replace({x}, '\\.', '_') ELSE {x} END"
