@@ -16,15 +16,25 @@ def citing_sets(refs: DataFrame, doc: str, item: str, known: DataFrame | None =
     return out if known is None else out.join(known.select(F.col(known.columns[0]).alias("item")).distinct(), "item", "left_semi")
 
 
-def pair_counts(sets: DataFrame) -> DataFrame:
+#: Items of one document that are paired in one row; longer lists are cut into blocks, and each pair of blocks is a row.
+BLOCK = 1_000
+
+
+def pair_counts(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(src, dst, n)``: in how many documents both are cited, either way round.
 
     The pairs of a document are made from its sorted list, inside one row, so the table isn't shuffled against itself;
-    a document of ``m`` items gives ``m * (m - 1)`` pairs, which is what the result counts.
+    a document of ``m`` items gives ``m * (m - 1)`` pairs, which is what the result counts. A list longer than ``block``
+    is cut, and its pairs of blocks are spread over the tasks: no task makes more than ``block`` squared of them a row.
     """
     lists = sets.groupBy("doc").agg(F.array_sort(F.collect_set("item")).alias("items")).where(F.size("items") >= 2)
-    first = lists.select("items", F.posexplode("items").alias("p", "src"))
-    half = first.select("src", F.explode(F.slice("items", F.col("p") + 2, F.greatest(F.size("items") - F.col("p") - 1, F.lit(0)))).alias("dst"))
+    within = lambda rows: rows.select("items", F.posexplode("items").alias("p", "src")).select("src", F.explode(F.slice("items", F.col("p") + 2, F.greatest(F.size("items") - F.col("p") - 1, F.lit(0)))).alias("dst"))
+    cut = lists.where(F.size("items") > block).select("doc", "items", F.explode(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / block).cast("int"))).alias("i"))
+    part = lambda i: F.slice("items", i * block + 1, F.lit(block))
+    both = cut.select("doc", "items", "i", F.explode(F.sequence(F.col("i"), F.floor((F.size("items") - 1) / block).cast("int"))).alias("j")).select("doc", "i", "j", part(F.col("i")).alias("a"), part(F.col("j")).alias("b"))
+    spread = both.repartition("doc", "i", "j")
+    across = spread.where("i < j").select(F.explode("a").alias("src"), "b").select("src", F.explode("b").alias("dst"))
+    half = within(lists.where(F.size("items") <= block)).unionByName(within(spread.where("i = j").withColumnRenamed("a", "items"))).unionByName(across)
     once = half.groupBy("src", "dst").agg(F.count("*").alias("n"))
     return once.unionByName(once.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statuta.operators.scores import top_k
 
@@ -64,14 +65,57 @@ def dense_rrf(ranked: DataFrame, query: str, item: str, rrf_k: float = 60.0) ->
 
 
 def score_in_batches(df: DataFrame, score, schema: str) -> DataFrame:
-    """Any model as an operator: ``score`` gets and returns a batch of rows, one after the other within a partition. A
-    batch that fails comes back with its error in the column ``error`` instead of ending the run."""
+    """Any model as an operator: ``score`` gets and returns a batch of rows, one after the other within a partition.
+    ``schema`` is that of its result; a column ``error`` comes behind. A batch that fails comes back with what columns it
+    has in common with the result, the others null, and its error, instead of ending the run."""
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             try:
-                yield score(b).assign(error=None)
+                yield score(b)[names].assign(error=None)
             except Exception as e:  # noqa: BLE001
-                yield b.assign(error=str(e))
+                yield pd.DataFrame({n: b[n] if n in b else pd.Series([None] * len(b), index=b.index, dtype=object) for n in names}).assign(error=str(e))
 
-    return df.mapInPandas(kernel, schema)
+    return df.mapInPandas(kernel, f"{schema}, error string")
+
+
+def embed(df: DataFrame, key: str, text: str, model, dim: int, done: DataFrame | None = None) -> DataFrame:
+    """``key, embedding, error``: texts through a model, a function from a list of texts to one vector each; keys that are
+    ``done`` are left out. Another number of vectors than texts, or of numbers than ``dim``, is an error of the batch."""
+    from statuta.operators.incremental import todo
+
+    def score(b: pd.DataFrame) -> pd.DataFrame:
+        got = [np.asarray(v, dtype=np.float32) for v in model(b[text].fillna("").tolist())]
+        if len(got) != len(b) or any(v.shape != (dim,) for v in got):
+            raise ValueError(f"expected {len(b)} vectors of {dim}")
+        return pd.DataFrame({key: b[key], "embedding": [v.tolist() for v in got]})
+
+    rows = df.select(key, text)
+    return score_in_batches(rows if done is None else todo(rows, done, key), score, f"{key} {dict(df.dtypes)[key]}, embedding array<float>")
+
+
+def ask(df: DataFrame, key: str, prompt: str, models: list, valid=None, attempts: int = 3, done: DataFrame | None = None) -> DataFrame:
+    """``key, answer, error``: prompts put to a model, which of several is settled by a hash of the key, so that load is
+    even and a repeated run asks the same one. An answer that raises or isn't ``valid`` is asked for again, ``attempts``
+    times; then ``error`` says why. Keys that are ``done`` are left out. Serves translation and decomposition alike."""
+    from statuta.operators.incremental import todo
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, text, at in zip(b[key], b[prompt], b["__m"]):
+                answer = error = None
+                for _ in range(attempts):
+                    try:
+                        answer, error = models[at](text), None
+                        if valid is None or valid(answer):
+                            break
+                        answer, error = None, "invalid answer"
+                    except Exception as e:  # noqa: BLE001
+                        error = str(e)
+                out.append((k, answer, error))
+            yield pd.DataFrame(out, columns=[key, "answer", "error"])
+
+    rows = df.select(key, prompt, F.pmod(F.xxhash64(key), F.lit(len(models))).cast("int").alias("__m"))
+    return (rows if done is None else todo(rows, done, key)).mapInPandas(kernel, f"{key} {dict(df.dtypes)[key]}, answer string, error string")

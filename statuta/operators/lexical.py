@@ -20,10 +20,10 @@ def overlaps(queries: DataFrame, query: str, q_text: str, docs: DataFrame, doc:
 def best_overlaps(queries: DataFrame, query: str, q_text: str, docs: DataFrame, doc: str, d_text: str, k: int) -> DataFrame:
     """``(query, doc, score, rank)``: the ``k`` documents that share most distinct tokens with a query, ties by ``doc``;
     those that share none are left out. Blocks of both sides meet and give their best; no row is made for other pairs."""
-    numbered = ordinals(docs.select(F.col(doc), hashed(tokens(F.col(d_text))).alias("words")), doc).withColumn("d", F.col("ord") - 1)
+    numbered = ordinals(docs.select(F.col(doc).alias("__doc"), hashed(tokens(F.col(d_text))).alias("words")), "__doc").withColumn("d", F.col("ord") - 1)
     asked = queries.select(F.col(query).alias("q"), hashed(tokens(F.col(q_text))).alias("words"))
     best = top_k(top_overlaps(asked, numbered.select("d", "words"), numbered.count(), k), ["q"], k, F.col("score").desc(), F.col("d"))
-    return best.join(numbered.select("d", doc), "d").select(F.col("q").alias(query), doc, "score", "rank")
+    return best.join(numbered.select("d", "__doc"), "d").select(F.col("q").alias(query), F.col("__doc").alias(doc), "score", "rank")
 
 
 def words(c: Column, n: int) -> Column:
@@ -64,8 +64,8 @@ def tfidf_top_k(queries: DataFrame, query: str, q_text: str, docs: DataFrame, do
     weights, vocabulary = term_weights(docs, doc, d_text, **options)
     bag = queries.where(F.col(query).isNotNull()).select(F.col(query), F.explode(words(F.col(q_text), options.get("ngrams", 1))).alias("term"))
     asked = weigh(bag.groupBy(query, "term").agg(F.count("*").alias("tf")), query, vocabulary)
-    pairs = lambda df, key: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("x")).select(key, hashed(F.col("x.term")).alias("words"), F.col("x.w").alias("weights"))
-    numbered = ordinals(pairs(weights, doc), doc).withColumn("d", F.col("ord") - 1)
-    found = top_products(pairs(asked, query).withColumnRenamed(query, "q"), numbered.select("d", "words", "weights"), numbered.count(), k)
+    pairs = lambda df, key, name: df.groupBy(F.col(key).alias(name)).agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("x")).select(name, hashed(F.col("x.term")).alias("words"), F.col("x.w").alias("weights"))
+    numbered = ordinals(pairs(weights, doc, "__doc"), "__doc").withColumn("d", F.col("ord") - 1)
+    found = top_products(pairs(asked, query, "q"), numbered.select("d", "words", "weights"), numbered.count(), k)
     best = top_k(found, ["q"], k, F.col("score").desc(), F.col("d"))
-    return best.join(numbered.select("d", doc), "d").select(F.col("q").alias(query), doc, "score", "rank")
+    return best.join(numbered.select("d", "__doc"), "d").select(F.col("q").alias(query), F.col("__doc").alias(doc), "score", "rank")

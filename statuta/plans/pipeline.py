@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from statuta.functions.text import tokens
 from statuta.operators.overlap import hashed, overlap_levels, places
 from statuta.plans.config import PipelineConfig
-from statuta.plans.runtime import materialise
+from statuta.plans.runtime import materialise, require_columns
 
 RESULT = "query_id string, rank int, citation string, score double, lexical_score double, rrf_score double, graph_score double"
 
@@ -30,6 +30,8 @@ def run_pipeline(queries: DataFrame, documents: DataFrame, config: PipelineConfi
     there. The places of those that the graph leads to are counted afterwards.
     Queries without a document give no rows; null texts have no tokens.
     """
+    require_columns(queries, "query_id", "text")
+    require_columns(documents, "doc_ord", "citation", "text", "keywords", "neighbors")
     k, limit = config.rrf_k, config.result_limit
     docs = documents.select("doc_ord", "citation", tokens(F.col("text")).alias("t"), F.array_distinct(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower)).alias("k"))
     n = documents.count()

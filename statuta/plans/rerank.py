@@ -88,7 +88,11 @@ def judge(asked: DataFrame, answer, confirm=None) -> DataFrame:
     def one_pass(ask) -> DataFrame:
         def kernel(batches_):
             for b in batches_:
-                yield b[["query_id", "batch_id"]].assign(raw=list(ask(b["prompt"].tolist())))
+                try:
+                    raw = list(ask(b["prompt"].tolist()))
+                except Exception as e:  # noqa: BLE001  # what isn't answered is kept; the diagnostic shows it
+                    raw = [f"error: {e}"] * len(b)
+                yield b[["query_id", "batch_id"]].assign(raw=raw)
 
         said = asked.select("query_id", "batch_id", "prompt").mapInPandas(kernel, "query_id string, batch_id int, raw string").withColumn("p", parse_decisions(F.col("raw")))
         each = asked.select("query_id", "batch_id", F.explode("labels").alias("l")).join(said, ["query_id", "batch_id"], "left")

@@ -33,7 +33,8 @@ def write_parquet(df: DataFrame, path: str, overwrite: bool = False, rows_per_fi
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Replace a table in one step: written beside it, then renamed. Readers see the old or the new one, whole."""
+    """Replace a table: written beside it whole, then put in its place by two renames. If the second fails, the old table
+    is put back. Between the two a reader finds no table, but never a part of one."""
     spark = df.sparkSession
     beside = path.rstrip("/") + "__next"
     df.write.mode("overwrite").parquet(beside)
@@ -41,9 +42,12 @@ def publish(df: DataFrame, path: str) -> None:
     old, _ = _path(spark, path)
     gone, _ = _path(spark, path.rstrip("/") + "__old")
     fs.delete(gone, True)
-    if fs.exists(old):
-        fs.rename(old, gone)
+    had = fs.exists(old)
+    if had and not fs.rename(old, gone):
+        raise OSError(f"could not set aside {path}")
     if not fs.rename(new, old):
+        if had:
+            fs.rename(gone, old)
         raise OSError(f"could not publish {path}")
     fs.delete(gone, True)
 
