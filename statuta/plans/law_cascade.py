@@ -12,8 +12,8 @@ from statuta.functions.text import citation_book
 from statuta.functions.vectors import centroids
 from statuta.operators import graph as g
 from statuta.operators.cooccurrence import anchor_scores, rerank_by_cocitation, spread
-from statuta.operators.dense import dense_rrf, dense_top_k
-from statuta.operators.scores import minmax, ordered_union, ranks, share_of_max, top_k
+from statuta.operators.dense import dense_rrf_top
+from statuta.operators.scores import minmax, ordered_union, share_of_max, top_k
 
 
 @dataclass(frozen=True)
@@ -44,12 +44,11 @@ class CascadeConfig:
             raise ValueError(f"unknown graph mode: {self.graph_mode}")
 
 
-def rank_by_subqueries(subqueries: DataFrame, query: str, sub: str, vector: str, laws: DataFrame, citation: str, law_vector: str, config: CascadeConfig = CascadeConfig()) -> DataFrame:
-    """``query, citation, rrf, best, rank``: laws near any sub-query, by fused rank, best cosine, citation, descending."""
-    asked = subqueries.select(F.to_json(F.struct(F.col(query).alias("q"), F.col(sub).alias("s"))).alias("__id"), F.col(vector).alias("v")).where("__id IS NOT NULL")
-    near = dense_top_k(asked, "__id", "v", laws, citation, law_vector, config.per_subquery)
-    found = near.withColumn(query, F.get_json_object("__id", "$.q")).where(F.col(query).isNotNull())
-    return ranks(dense_rrf(found, query, citation, config.rrf_k), [query], F.col("rrf").desc(), F.col("best").desc(), F.col(citation).desc())
+def rank_by_subqueries(subqueries: DataFrame, query: str, sub: str, vector: str, laws: DataFrame, citation: str, law_vector: str, config: CascadeConfig = CascadeConfig(), most: int | None = None) -> DataFrame:
+    """``query, citation, rrf, best, rank``: laws near any sub-query, by fused rank, best cosine, citation, descending; the
+    first ``most`` of a query, or all."""
+    asked = subqueries.select(F.col(query), F.to_json(F.struct(F.col(query).alias("q"), F.col(sub).alias("s"))).alias("__id"), F.col(vector).alias("v"))
+    return dense_rrf_top(asked, query, "__id", "v", laws, citation, law_vector, config.per_subquery, config.rrf_k, most)
 
 
 def domain_vectors(laws: DataFrame, title: str, book: str, vector: str) -> DataFrame:
