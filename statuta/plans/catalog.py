@@ -17,7 +17,7 @@ from statuta.operators import incremental as inc
 from statuta.operators import lexical as lx
 from statuta.operators import scores as sc
 from statuta.operators import selection as sel
-from statuta.operators.dense import dense_rrf, dense_top_k
+from statuta.operators.dense import dense_rrf_top, dense_top_k
 from statuta.operators.diversify import mmr
 from statuta.operators.packed import split_packed
 from statuta.plans import court_retrieval as cr
@@ -462,8 +462,8 @@ _SUB_TOP = _dense(_SUBS_V.replace("sub_row_id", "query_id || '#' || sub_row_id A
 @query(f"SELECT query_id, citation, rrf, best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, best DESC, citation DESC) AS k FROM (SELECT string_split(id, '#')[1] AS query_id, citation, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, max(cos) AS best FROM ({_SUB_TOP}) GROUP BY 1, 2)) WHERE k <= 20")
 def dense_rrf_subqueries(s, d):
     subs = read_table(s, d, "test_sub_query_zembed", "sub_row_id", "query_id", "zembed_embedding").withColumn("id", F.concat("query_id", F.lit("#"), "sub_row_id"))
-    near = dense_top_k(subs, "id", "zembed_embedding", _laws_v(s, d), "citation", "embedding", 20).withColumn("query_id", F.substring_index("id", "#", 1))
-    return sc.top_k(dense_rrf(near, "query_id", "citation"), ["query_id"], 20, F.col("rrf").desc(), F.col("best").desc(), F.col("citation").desc(), name="k").drop("k")
+    subs = subs.withColumn("query_id", F.substring_index("id", "#", 1))
+    return dense_rrf_top(subs, "query_id", "id", "zembed_embedding", _laws_v(s, d), "citation", "embedding", 20, most=20).drop("rank")
 
 
 _MEANS = f"SELECT query_id, pos, avg(x) AS m FROM (SELECT query_id, unnest(zembed_embedding)::DOUBLE AS x, generate_subscripts(zembed_embedding, 1) AS pos FROM test_sub_query_zembed WHERE query_id IS NOT NULL AND {_FINE('zembed_embedding')}) GROUP BY 1, 2"
