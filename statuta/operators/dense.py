@@ -60,21 +60,23 @@ def _nearest(vectors: np.ndarray, place: str, kind: str, k: int, dim: int, scale
     cosine, in steps of one over ``scale``, and the item's id below, so that the larger of two keys is the better."""
     unit = _unit(vectors)
     single, best = unit.astype(np.float32), np.full((len(unit), k), -1, np.int64)
-    low, tile = (1 << shift) - 1, 512
+    low, tile, ends = (1 << shift) - 1, 512, set()
     for block in read(place, "ids", "vectors"):
         ids = np.frombuffer(block["ids"][0].as_buffer(), np.int64)
         own = _unit(np.frombuffer(block["vectors"][0].as_buffer(), kind).reshape(-1, dim))
         across = own.astype(np.float32).T
+        same = ids[1:] == ids[:-1]
+        twice, starts = np.r_[same, False] | np.r_[False, same], np.flatnonzero(np.r_[True, ~same])
+        shared = bool(ends & {ids[0], ids[-1]})  # an item of several blocks
+        ends |= {ids[0], ids[-1]}
         for t in range(0, len(unit), tile):
             have = best[t : t + tile]
             worst = have.min(axis=1)
             near = single[t : t + tile] @ across
             edge = np.where(worst < 0, -2.0, (worst >> shift) / scale - 1 - MARGIN - 1 / scale).astype(np.float32)
-            if (worst < 0).any() and len(np.unique(ids)) > k:  # the block has k items of its own
-                starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            if (worst < 0).any() and len(starts) > k:  # the block has k items of its own
                 most = near if len(starts) == len(ids) else np.maximum.reduceat(near, starts, axis=1)
-                if len(starts) > k:
-                    edge = np.maximum(edge, np.partition(most, len(starts) - k, axis=1)[:, len(starts) - k] - np.float32(MARGIN + 1 / scale))
+                edge = np.maximum(edge, np.partition(most, len(starts) - k, axis=1)[:, len(starts) - k] - np.float32(MARGIN + 1 / scale))
             rows, cols = np.divmod(np.flatnonzero(near >= edge[:, None]), len(ids))
             if not len(rows):
                 continue
@@ -83,6 +85,10 @@ def _nearest(vectors: np.ndarray, place: str, kind: str, k: int, dim: int, scale
                 cos[i : i + 65_536] = np.einsum("ij,ij->i", unit[t + rows[i : i + 65_536]], own[cols[i : i + 65_536]])
             keys = (np.clip(np.rint(cos * scale) + scale, 0, 2 * scale).astype(np.int64) << shift) | ids[cols]
             fresh = keys > worst[rows]
+            again = np.flatnonzero(fresh & twice[cols])
+            if len(again):  # of an item's vectors the nearest
+                again = again[np.lexsort((keys[again], ids[cols[again]], rows[again]))]
+                fresh[again[:-1][(rows[again[1:]] == rows[again[:-1]]) & (ids[cols[again[1:]]] == ids[cols[again[:-1]]])]] = False
             rows, keys = rows[fresh], keys[fresh]
             touched, counts = np.unique(rows, return_counts=True)
             if not len(touched):
@@ -90,7 +96,7 @@ def _nearest(vectors: np.ndarray, place: str, kind: str, k: int, dim: int, scale
             wide = np.full((len(touched), k + counts.max()), -1, np.int64)
             wide[:, :k] = have[touched]
             wide[np.repeat(np.arange(len(touched)), counts), k + np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)] = keys
-            best[t + touched] = _distinct(wide, low, shift, k)
+            best[t + touched] = _distinct(wide, low, shift, k) if shared else np.partition(wide, wide.shape[1] - k, axis=1)[:, -k:]
     return -np.sort(-best, axis=1)
 
 
