@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions.text import let, tokens
-from statuta.operators.overlap import hashed, top_overlaps, top_products
+from statuta.operators.overlap import hashed, sized, top_overlaps, top_products
 from statuta.operators.scores import ordinals, top_k
+from statuta.sources.shelf import read, shelve
 
 
 def overlaps(queries: DataFrame, query: str, q_text: str, docs: DataFrame, doc: str, d_text: str) -> DataFrame:
@@ -20,9 +23,9 @@ def overlaps(queries: DataFrame, query: str, q_text: str, docs: DataFrame, doc:
 def best_overlaps(queries: DataFrame, query: str, q_text: str, docs: DataFrame, doc: str, d_text: str, k: int) -> DataFrame:
     """``(query, doc, score, rank)``: the ``k`` documents that share most distinct tokens with a query, ties by ``doc``;
     those that share none are left out. Blocks of both sides meet and give their best; no row is made for other pairs."""
-    numbered = ordinals(docs.select(F.col(doc).alias("__doc"), hashed(tokens(F.col(d_text))).alias("words")), "__doc").withColumn("d", F.col("ord") - 1)
+    numbered = ordinals(docs.select(F.col(doc).alias("__doc"), F.col(d_text).alias("text")), "__doc").withColumn("d", F.col("ord") - 1)
     asked = queries.select(F.col(query).alias("q"), hashed(tokens(F.col(q_text))).alias("words"))
-    best = top_k(top_overlaps(asked, numbered.select("d", "words"), numbered.count(), k), ["q"], k, F.col("score").desc(), F.col("d"))
+    best = top_k(top_overlaps(asked, numbered.select("d", hashed(tokens(F.col("text"))).alias("words")), k), ["q"], k, F.col("score").desc(), F.col("d"))
     return best.join(numbered.select("d", "__doc"), "d").select(F.col("q").alias(query), F.col("__doc").alias(doc), "score", "rank")
 
 
@@ -60,12 +63,49 @@ def weigh(tf: DataFrame, doc: str, vocabulary: DataFrame) -> DataFrame:
 
 def tfidf_top_k(queries: DataFrame, query: str, q_text: str, docs: DataFrame, doc: str, d_text: str, k: int, **options) -> DataFrame:
     """``query, doc, score, rank``: the ``k`` documents with the largest cosine of TF-IDF weights above zero, ties by
-    ``doc``. Blocks of both sides meet and give their best; no row is made for other pairs."""
-    weights, vocabulary = term_weights(docs, doc, d_text, **options)
-    bag = queries.where(F.col(query).isNotNull()).select(F.col(query), F.explode(words(F.col(q_text), options.get("ngrams", 1))).alias("term"))
-    asked = weigh(bag.groupBy(query, "term").agg(F.count("*").alias("tf")), query, vocabulary)
-    pairs = lambda df, key, name: df.groupBy(F.col(key).alias(name)).agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("x")).select(name, hashed(F.col("x.term")).alias("words"), F.col("x.w").alias("weights"))
-    numbered = ordinals(pairs(weights, doc, "__doc"), "__doc").withColumn("d", F.col("ord") - 1)
-    found = top_products(pairs(asked, query, "q"), numbered.select("d", "words", "weights"), numbered.count(), k)
-    best = top_k(found, ["q"], k, F.col("score").desc(), F.col("d"))
+    ``doc``; the terms and ``options`` are those of ``term_weights``. No row is made for a pair, nor for a document's term: the
+    idf of the terms, by their hash, lies in blocks that are read where a block of documents or questions is weighed."""
+    n_of = options.get("ngrams", 1)
+    docs = docs.where(F.col(doc).isNotNull())
+    numbered = ordinals(docs.select(F.col(doc).alias("__doc"), F.col(d_text).alias("text")), "__doc").withColumn("d", F.col("ord") - 1)
+    n, terms = numbered.count(), words(F.col("text"), n_of)
+    max_features, counted = options.get("max_features"), F.count("*").alias("df")
+    if max_features is None:
+        stats = numbered.select(F.explode(F.array_distinct(hashed(terms))).alias("h")).groupBy("h").agg(counted)
+    else:
+        tf = numbered.select("d", F.explode(terms).alias("term")).groupBy("d", "term").agg(F.count("*").alias("tf"))
+        stats = tf.groupBy("term").agg(counted, F.sum("tf").alias("total"))
+    stats = stats.where((F.col("df") <= options.get("max_df", 0.9) * n) & (F.col("df") >= options.get("min_df", 1)))
+    if max_features is not None:
+        stats = stats.orderBy(F.col("total").desc(), "term").limit(max_features).withColumn("h", F.xxhash64("term"))
+
+    def pack(batches):
+        for t in sized(batches, 1 << 20):
+            h, df = t["h"].to_numpy(), t["df"].to_numpy()
+            by = np.argsort(h)
+            yield pa.RecordBatch.from_pylist([{"h": h[by].astype(np.int64).tobytes(), "idf": (1 + np.log((1 + n) / (1 + df[by]))).tobytes()}])
+
+    vocabulary = shelve(stats.select("h", "df").mapInArrow(pack, "h binary, idf binary"))
+
+    def weigh(terms: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct terms of the vocabulary by ``of``, and ``(1 + ln tf) * idf`` at length one."""
+        by = np.lexsort((terms, of))
+        terms, of = terms[by], of[by]
+        first = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (of[1:] != of[:-1])]) if len(terms) else np.zeros(0, np.int64)
+        tf = np.diff(np.append(first, len(terms)))
+        some, at = np.unique(terms[first], return_inverse=True)
+        idf = np.zeros(len(some))
+        for block in read(vocabulary):
+            h = np.frombuffer(block["h"][0].as_buffer(), np.int64)
+            there = np.searchsorted(h, some)
+            hit = there < len(h)
+            hit[hit] = h[there[hit]] == some[hit]
+            idf[hit] = np.frombuffer(block["idf"][0].as_buffer(), np.float64)[there[hit]]
+        known = idf[at] > 0
+        terms, of, w = terms[first][known], of[first][known], ((1 + np.log(tf)) * idf[at])[known]
+        lengths = np.sqrt(np.bincount(of, w * w)) if len(of) else np.zeros(0)
+        return terms, of, w / lengths[of]
+
+    asked = queries.where(F.col(query).isNotNull()).select(F.col(query).alias("q"), hashed(words(F.col(q_text), n_of)).alias("words"))
+    best = top_k(top_products(asked, numbered.select("d", hashed(terms).alias("words")), k, weigh), ["q"], k, F.col("score").desc(), F.col("d"))
     return best.join(numbered.select("d", "__doc"), "d").select(F.col("q").alias(query), F.col("__doc").alias(doc), "score", "rank")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions.text import tokens
-from statuta.operators.overlap import hashed, overlap_levels, places
+from statuta.operators.overlap import hashed, overlap_places
 from statuta.plans.config import PipelineConfig
-from statuta.plans.runtime import materialise, require_columns
+from statuta.plans.runtime import require_columns
 
 RESULT = "query_id string, rank int, citation string, score double, lexical_score double, rrf_score double, graph_score double"
 
@@ -23,11 +21,10 @@ def run_pipeline(queries: DataFrame, documents: DataFrame, config: PipelineConfi
     as tokens) and by keyword overlap, ties by ``doc_ord``; both rankings are fused; the first ``seed_k`` of the lexical
     ranking lead to their outgoing neighbors; the blend is ``lexical * minmax + rrf * minmax + graph``.
 
-    No row is made for a pair of query and document. Of the documents that share equally many tokens and no keyword, an
-    earlier one is ahead in both rankings: only the first few of each such level and its last one can matter, for the
-    result and for the range of the scores. Blocks of queries and documents give each level's size and these few
-    (:mod:`statuta.operators.overlap`); a document's place is what stands above its level, before its block and before it
-    there. The places of those that the graph leads to are counted afterwards.
+    No row is made for a pair of query and document. Of the documents that share equally many tokens and equally many
+    keywords, an earlier one is ahead in both rankings: only the first few of each such class and its last one can matter,
+    for the result and for the range of the scores, and those that the graph leads to. Where the query is, all documents
+    are read block by block (:mod:`statuta.operators.overlap`), which gives these with their places in both rankings.
     Queries without a document give no rows; null texts have no tokens.
     """
     require_columns(queries, "query_id", "text")
@@ -40,29 +37,11 @@ def run_pipeline(queries: DataFrame, documents: DataFrame, config: PipelineConfi
     asked = queries.select(F.col("query_id").alias("q"), hashed(tokens(F.col("text"))).alias("words"))
     corpus = docs.select(F.col("doc_ord").cast("long").alias("d"), hashed(F.array_union("t", "k")).alias("words"), hashed(F.col("k")).alias("keys"))
     by_query = Window.partitionBy("query_id")
-    blocks = materialise(overlap_levels(asked, corpus, n, max(limit, config.seed_k)).withColumnRenamed("q", "query_id"))
-    levels = blocks.groupBy("query_id", "lex").agg(F.sum("size").alias("size"), F.sum("keys").alias("keys"))
-    above = F.coalesce(F.sum("size").over(by_query.orderBy(F.col("lex").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("query_id", "lex").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = blocks.select("query_id", "lex", "b", before.alias("before")).join(levels.select("query_id", "lex", above.alias("above")), ["query_id", "lex"])
-    start = start.select("query_id", "lex", "b", (F.col("above") + F.col("before")).alias("start"))
-    counts = levels.groupBy("query_id").agg(F.sum("keys").alias("n_key"))
-
-    found = blocks.select("query_id", "lex", "b", F.explode("heads").alias("h")).join(start, ["query_id", "lex", "b"])
-    heads = found.select("query_id", F.col("h.d").cast("int").alias("doc_ord"), F.col("lex").cast("double").alias("lex"), F.col("h.key").cast("double").alias("key"), (F.col("start") + F.col("h.pos")).alias("r_lex"))
-    seeds = heads.where(F.col("r_lex") <= config.seed_k).select("query_id", "doc_ord")
-    links = documents.select("doc_ord", F.explode(F.array_distinct("neighbors")).alias("citation")).join(documents.select("citation", F.col("doc_ord").alias("target")), "citation").select("doc_ord", "target")
-    graph = materialise(seeds.join(links, "doc_ord").select(F.col("query_id").alias("q"), F.col("target").cast("long").alias("d")).distinct())
-    led = places(graph, asked, corpus, n).withColumnRenamed("q", "query_id").join(start, ["query_id", "lex", "b"])
-    led = led.select("query_id", F.col("d").cast("int").alias("doc_ord"), F.col("lex").cast("double").alias("lex"), F.col("key").cast("double").alias("key"), (F.col("start") + F.col("pos")).alias("r_lex"), F.lit(1.0).alias("graph"))
-    parts = [heads.withColumn("graph", F.lit(0.0)), led]
-    rows = reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_ord").agg(*[F.max(c).alias(c) for c in ("lex", "key", "r_lex", "graph")])
-    by_ord = by_query.orderBy("doc_ord")
-    before = by_ord.rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(counts, "query_id").withColumns({"r_key": F.row_number().over(by_query.orderBy(F.col("key").desc(), "doc_ord")), "b_key": F.coalesce(F.sum((F.col("key") > 0).cast("int")).over(before), F.lit(0))})
-    # among those without a keyword, a document's place is its doc_ord less the documents with one before it
-    r_key = F.when(F.col("key") > 0, F.col("r_key")).otherwise(F.col("n_key") + F.col("doc_ord") - F.col("b_key") + 1)
-    fused = placed.withColumn("rrf", F.round(1.0 / (k + F.col("r_lex")) + 1.0 / (k + r_key), 12))
+    links = documents.select("doc_ord", F.explode(F.array_distinct("neighbors")).alias("citation")).join(documents.select("citation", F.col("doc_ord").alias("target")), "citation")
+    links = links.select(F.col("doc_ord").cast("long").alias("src"), F.col("target").cast("long").alias("dst"))
+    rows = overlap_places(asked, corpus, links, max(limit, config.seed_k), config.seed_k)
+    rows = rows.select(F.col("q").alias("query_id"), F.col("d").cast("int").alias("doc_ord"), "lex", "r_lex", "r_key", "graph")
+    fused = rows.withColumn("rrf", F.round(1.0 / (k + F.col("r_lex")) + 1.0 / (k + F.col("r_key")), 12))
     stretch = lambda c, lo: F.when(F.max(c).over(by_query) <= lo, 1.0).otherwise((F.col(c) - lo) / (F.max(c).over(by_query) - lo))
     blended = fused.withColumns({"lexical_score": stretch("lex", F.min("lex").over(by_query)), "rrf_score": stretch("rrf", F.min("rrf").over(by_query)), "graph_score": F.col("graph")})
     blended = blended.withColumn("score", F.round(config.lexical_weight * F.col("lexical_score") + config.rrf_weight * F.col("rrf_score") + config.graph_weight * F.col("graph_score"), 9))

@@ -3,6 +3,7 @@ getting a copy each by a shuffle: it is on disk once, however many tasks there a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -26,15 +27,19 @@ def shelve(df: DataFrame) -> str:
 
 
 def blocks(place: str) -> tuple[fs.FileSystem, list[str]]:
-    """The file system and the files of a place, one a block."""
+    """The file system and the files of a place, one a block, in the order of the rows written."""
     system, path = (fs.LocalFileSystem(), "/" + place[len("file:") :].lstrip("/")) if place.startswith("file:") else fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), place)
-    return system, sorted(x.path for x in system.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet"))
+    order = lambda p: [int(x) for x in re.search(r"part-(\d+)-.*[.-]c(\d+)\.[^/]*$", p).groups()]
+    found = sorted((x.path for x in system.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet")), key=order)
+    return system, [p for p in found if pq.read_metadata(system.open_input_file(p)).num_rows]
+
+
+def read_file(system: fs.FileSystem, file: str, *columns: str) -> Table:
+    return pq.ParquetFile(system.open_input_file(file)).read(columns=list(columns) or None)
 
 
 def read(place: str, *columns: str) -> Iterator[Table]:
     """The blocks, one at a time."""
     system, files = blocks(place)
     for file in files:
-        table = pq.ParquetFile(system.open_input_file(file)).read(columns=list(columns))
-        if len(table):
-            yield table
+        yield read_file(system, file, *columns)
