@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statuta.operators.scores import ordinals
-from statuta.sources.shelf import read, shelve
+from statuta.sources.shelf import read, shelve, slabs
 
 #: Vectors of each side that meet at a time.
 QUERY_BLOCK, CORPUS_BLOCK = 8_192, 16_384
@@ -32,8 +32,8 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _shelve(corpus: DataFrame, dim: int, size: int) -> str:
-    """Blocks of ``corpus(c, v)``: ``ids`` (of each vector, the place of its item in order), ``names`` and ``at`` of the items,
-    ``vectors``. The vectors of an item follow each other."""
+    """Blocks of ``corpus(c, v, ord)``: ``ids`` (of each vector, the place of its item in order), ``names`` and ``at`` of the
+    items, ``vectors``. The vectors of an item follow each other."""
     kind = "float32" if dict(corpus.dtypes)["v"] == "array<float>" else "float64"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +52,7 @@ def _shelve(corpus: DataFrame, dim: int, size: int) -> str:
                     "names": [list(known.values())], "at": [list(known)],
                 }, pa.schema([("ids", pa.binary()), ("vectors", pa.binary()), ("names", pa.list_(pa.string())), ("at", pa.list_(pa.int64()))]))
 
-    return shelve(ordinals(corpus, "c").select("c", "v", "ord").mapInArrow(pack, "ids binary, vectors binary, names array<string>, at array<long>"))
+    return shelve(corpus.select("c", "v", "ord").mapInArrow(pack, "ids binary, vectors binary, names array<string>, at array<long>"))
 
 
 def _nearest(vectors: np.ndarray, place: str, kind: str, k: int, dim: int, scale: int, shift: int) -> np.ndarray:
@@ -109,8 +109,9 @@ def _distinct(keys: np.ndarray, low: int, shift: int, k: int) -> np.ndarray:
     return np.partition(keys, keys.shape[1] - k, axis=1)[:, -k:]
 
 
-def _search(asked: DataFrame, corpus: DataFrame, item: str, vector: str, k: int, dim: int, digits: int, rrf_k: float | None, most: int | None) -> DataFrame:
-    """``q, c, cos, rank``, or fused over the ``s`` of a ``q``: ``q, c, rrf, best, rank``. ``asked(q, s, v)``.
+def _search(asked: DataFrame, corpus: DataFrame, item: str, vector: str, k: int, dim: int, digits: int, rrf_k: float | None, most: int | None, numbered: bool = False) -> DataFrame:
+    """``q, c, cos, rank``, or fused over the ``s`` of a ``q``: ``q, c, rrf, best, rank``. ``asked(q, s, v)``. With
+    ``numbered``, items are numbers already, and a fused ranking is one row: ``q, ids, rrf, best``.
 
     The corpus is written once, in blocks in the order of its items. All vectors of a ``q`` go to one task, which reads the
     blocks once for every ``QUERY_BLOCK`` of its vectors and ends with the ranking itself; nothing else is shuffled.
@@ -121,22 +122,11 @@ def _search(asked: DataFrame, corpus: DataFrame, item: str, vector: str, k: int,
     whole = lambda df: df if dict(df.dtypes)["v"] in kinds else df.withColumn("v", F.col("v").cast("array<double>"))
     q = whole(asked.where(F.col("q").isNotNull() & F.col("s").isNotNull() & usable(F.col("v"), dim)))
     c = whole(corpus.select(F.col(item).cast("string").alias("c"), F.col(vector).alias("v")).where(F.col("c").isNotNull() & usable(F.col(vector), dim)))
+    c = c.withColumn("ord", F.col("c").cast("long")).repartition("ord").sortWithinPartitions("ord") if numbered else ordinals(c, "c")
     place, kind, block, scale = _shelve(c, dim, CORPUS_BLOCK), kinds[dict(c.dtypes)["v"]], QUERY_BLOCK, 10**digits
     shift = 62 - (2 * scale).bit_length()
     low, fused = (1 << shift) - 1, rrf_k is not None
 
-    def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held, n = [], 0
-        for b in batches:
-            for start in range(0, len(b), block):
-                held.append(b.slice(start, block))
-                n += len(held[-1])
-                if n >= block:
-                    yield pa.Table.from_batches(held)
-                    held, n = [], 0
-        if held:
-            yield pa.Table.from_batches(held)
-
     def runs(rows) -> Iterator[tuple]:
         """Rows of one ``q`` and ``s`` as one."""
         before = None
@@ -203,9 +193,16 @@ def _search(asked: DataFrame, corpus: DataFrame, item: str, vector: str, k: int,
             columns = [queries.take(pa.array(of[cut])), names.take(pa.array(items[cut])), *([pa.array(rrf[cut])] if fused else []), pa.array(cos[cut] / scale), pa.array(rank[cut])]
             yield pa.RecordBatch.from_arrays(columns, ["q", "c", "rrf", "best", "rank"] if fused else ["q", "c", "cos", "rank"])
 
+    def listed(held: list) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(held), 1_024):
+            part = held[i : i + 1_024]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.list_(pa.int64())), pa.array([x[2] for x in part], pa.list_(pa.float64())), pa.array([(x[3] - scale) / scale for x in part], pa.list_(pa.float64()))], ["q", "ids", "rrf", "best"])
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = listed if numbered else named
+
         def rows():
-            for slab in slabs(batches):
+            for slab in slabs(batches, block):
                 keys = _nearest(_vectors(slab["v"].combine_chunks(), dim), place, kind, k, dim, scale, shift)
                 yield from zip(slab["q"].to_pylist(), slab["s"].to_pylist(), keys)
 
@@ -215,13 +212,14 @@ def _search(asked: DataFrame, corpus: DataFrame, item: str, vector: str, k: int,
                 held.append(x)
                 n += len(x[1])
             if n >= 2_000_000:
-                yield from named(held)
+                yield from out(held)
                 held, n = [], 0
         if held:
-            yield from named(held)
+            yield from out(held)
 
     n = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(asked.count() / block))
-    return q.repartition(n, "q").sortWithinPartitions("q", "s").mapInArrow(kernel, f"q string, c string, {'rrf double, best' if fused else 'cos'} double, rank int")
+    schema = "q string, ids array<long>, rrf array<double>, best array<double>" if numbered else f"q string, c string, {'rrf double, best' if fused else 'cos'} double, rank int"
+    return q.repartition(n, "q").sortWithinPartitions("q", "s").mapInArrow(kernel, schema)
 
 
 def dense_top_k(queries: DataFrame, query: str, query_vector: str, corpus: DataFrame, item: str, item_vector: str, k: int, dim: int = 64, digits: int = 6) -> DataFrame:
@@ -243,6 +241,12 @@ def dense_rrf_top(queries: DataFrame, query: str, sub: str, query_vector: str, c
     return _search(asked, corpus, item, item_vector, k, dim, digits, float(rrf_k), most).select(F.col("q").alias(query), F.col("c").alias(item), "rrf", "best", "rank")
 
 
+def dense_rrf_lists(queries: DataFrame, query: str, sub: str, query_vector: str, corpus: DataFrame, number: str, item_vector: str, k: int, rrf_k: float = 60.0, most: int | None = None, dim: int = 64, digits: int = 6) -> DataFrame:
+    """``query, ids, rrf, best``: the ranking of ``dense_rrf_top`` in one row, of items that are numbers in their order."""
+    asked = queries.select(F.col(query).cast("string").alias("q"), F.col(sub).cast("string").alias("s"), F.col(query_vector).alias("v"))
+    return _search(asked, corpus, number, item_vector, k, dim, digits, float(rrf_k), most, True).withColumnRenamed("q", query)
+
+
 def dense_rrf(ranked: DataFrame, query: str, item: str, rrf_k: float = 60.0) -> DataFrame:
     """``query, item, rrf, best``: ranks of an item over all sub-queries fused, and its best cosine.
 

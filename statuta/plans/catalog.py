@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,10 @@ from statuta.operators import incremental as inc
 from statuta.operators import lexical as lx
 from statuta.operators import scores as sc
 from statuta.operators import selection as sel
-from statuta.operators.dense import dense_rrf_top, dense_top_k
+from statuta.operators.dense import dense_rrf_lists, dense_rrf_top, dense_top_k
 from statuta.operators.diversify import mmr
 from statuta.operators.packed import split_packed
+from statuta.plans import cascade_blocks
 from statuta.plans import court_retrieval as cr
 from statuta.plans import equivalents as eq
 from statuta.plans import law_cascade as lc
@@ -567,22 +570,32 @@ def gold_book_network(s, d):
 @query()
 def law_cascade(s, d):
     """Dense ranking of the sub-queries, hints, graph, anchors, three book networks, co-citation."""
-    laws = read_table(s, d, "laws_db", "citation", "document", "source_book", "embedding")
-    ranked = lc.rank_by_subqueries(_subs(s, d), "query_id", "sub_row_id", "zembed_embedding", _laws_v(s, d), "citation", "embedding")
-    ranked = materialise(ranked.where("rank <= 200").select("query_id", "citation", "rank"))
+    laws = read_table(s, d, "laws_db", "citation", "document", "source_book", "target_books", "embedding")
     test = read_table(s, d, "test", "query_id", "query", "german_translation", "decomposed_queries_raw", "pre_citations", "pre_near_matches").where("query_id IS NOT NULL")
     test, texts = inc.newest(test.withColumn("o", F.length("query")), ["query_id"], "o", "query"), ["query", "german_translation", "decomposed_queries_raw"]
     exact = ex.query_hints(test, "query_id", "pre_near_matches", "pre_citations", texts, laws, "citation")
     books = ex.hinted_books(test, "query_id", ["pre_citations", "pre_near_matches"], texts, laws.select(t.citation_book(F.col("citation")).alias("book")).where("book IS NOT NULL"))
     domains = lc.domain_vectors(laws.where(v.usable(F.col("embedding"), 64)).withColumn("title", t.split_document(F.col("document"))["title"]), "title", "source_book", "embedding")
-    asked = _subs(s, d).select(F.concat("query_id", F.lit("#"), "sub_row_id").alias("id"), "zembed_embedding")
-    near = dense_top_k(asked, "id", "zembed_embedding", domains, "domain", "centroid", 10).withColumn("query_id", F.substring_index("id", "#", 1))
-    near = near.join(domains.select("domain", F.col("book_code").alias("book")), "domain").where("book IS NOT NULL")
     cited = ex.explicit_laws(read_table(s, d, "documents", "doc_id", "text"), ["doc_id"], "text", ex.citation_lookup(laws, "citation")).select(F.col("doc_id").alias("doc"), F.col("citation").alias("item"))
-    network = materialise(lc.book_scores(lc.book_seeds(near, "query_id"), books, "query_id", [_network(s, d), _book_network(_gold(s, d)), _book_network(cited)]))
-    sets = materialise(_sets(s, d))
+    # from here on items, books and domains are numbers, in the order of their names
+    items = laws.select("citation").unionByName(_gold(s, d).select(F.col("item").alias("citation"))).where("citation IS NOT NULL").distinct()
+    items = sc.ordinals(items, "citation").select(F.col("ord").alias("id"), F.col("citation").alias("name"), t.citation_book(F.col("citation")).alias("book_name"))
+    named = [items.select("book_name"), laws.select("source_book"), laws.select(F.explode(t.split_list(F.col("target_books"))))]
+    numbers = sc.ordinals(reduce(DataFrame.unionByName, [n.toDF("book_name") for n in named]).where("book_name IS NOT NULL").distinct(), "book_name").select("book_name", F.col("ord").alias("book"))
+    items = materialise(items.join(numbers, "book_name", "left").select("id", "name", "book"))
+    number = lambda df, c, by, name, to: df.join(by.select(F.col(name).alias(c), F.col(to).alias("__n")), c).withColumn(c, F.col("__n")).drop("__n")
+    as_item, as_book = (lambda df, c: number(df, c, items, "name", "id")), (lambda df, c: number(df, c, numbers, "book_name", "book"))
+    domains = sc.ordinals(domains.select("domain", "centroid", F.col("book_code").alias("book_name")), "domain").join(numbers, "book_name", "left").select(F.col("ord").alias("id"), "centroid", "book")
+    subs, config = _subs(s, d), lc.CascadeConfig()
+    ranked = dense_rrf_lists(subs, "query_id", "sub_row_id", "zembed_embedding", as_item(_laws_v(s, d), "citation"), "citation", "embedding", config.per_subquery, config.rrf_k, 200)
+    near = dense_rrf_lists(subs, "query_id", "sub_row_id", "zembed_embedding", domains, "id", "centroid", 10)
+    networks = [as_book(as_book(n, "src"), "dst") for n in (_network(s, d), _book_network(_gold(s, d)), _book_network(cited))]
+    graph = as_item(as_item(_whole_edges(s, d), "src"), "dst")
+    sets = materialise(as_item(_sets(s, d), "item"))
     pairs = materialise(co.pair_counts(sets))
-    return lc.law_cascade(ranked, "query_id", exact, books, network, _whole_edges(s, d), co.confidence(pairs, co.support(sets, 2)), co.tfidf(pairs, sets), lc.CascadeConfig()).select("query_id", "citation", "rank", r6("score"))
+    exact, books = as_item(exact.select("query_id", "citation"), "citation").withColumnRenamed("citation", "id"), as_book(books, "book")
+    out = cascade_blocks.cascade(ranked, near, exact, books, "query_id", items, domains, networks, graph, co.confidence(pairs, co.support(sets, 2)), co.tfidf(pairs, sets), config)
+    return out.select("query_id", "citation", "rank", r6("score"))
 
 
 # ---------------------------------------------------------------- courts

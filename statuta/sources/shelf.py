@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from uuid import uuid4
 
 import pyarrow.parquet as pq
-from pyarrow import Table, fs
+from pyarrow import RecordBatch, Table, fs
 from pyspark.sql import DataFrame
 
 from statuta.plans.runtime import ensure_checkpoint_dir
@@ -43,3 +43,17 @@ def read(place: str, *columns: str) -> Iterator[Table]:
     system, files = blocks(place)
     for file in files:
         yield read_file(system, file, *columns)
+
+
+def slabs(batches: Iterator[RecordBatch], size: int) -> Iterator[Table]:
+    """The rows of the batches again, ``size`` at a time, or nearly twice as many."""
+    held, n = [], 0
+    for b in batches:
+        for start in range(0, len(b), size):
+            held.append(b.slice(start, size))
+            n += len(held[-1])
+            if n >= size:
+                yield Table.from_batches(held)
+                held, n = [], 0
+    if held:
+        yield Table.from_batches(held)
