@@ -550,12 +550,12 @@ def subquery_ranking(s, d):
     return lc.rank_by_subqueries(_subs(s, d), "query_id", "sub_row_id", "zembed_embedding", _laws_v(s, d), "citation", "embedding")
 
 
-def _book_sets(rows):
-    return co.citing_sets(rows.withColumn("item", t.citation_book(F.col("item"))), "doc", "item")
+def _book_network(rows):
+    return _network_of(rows.withColumn("item", t.citation_book(F.col("item"))))
 
 
-def _book_network(rows):
-    sets = _book_sets(rows)
+def _network_of(rows):
+    sets = co.citing_sets(rows, "doc", "item")
     return co.confidence(co.pair_counts(sets), co.support(sets, 1), 2)
 
 
@@ -577,10 +577,11 @@ def law_cascade(s, d):
     books = ex.hinted_books(test, "query_id", ["pre_citations", "pre_near_matches"], texts, laws.select(t.citation_book(F.col("citation")).alias("book")).where("book IS NOT NULL"))
     domains = lc.domain_vectors(laws.where(v.usable(F.col("embedding"), 64)).withColumn("title", t.split_document(F.col("document"))["title"]), "title", "source_book", "embedding")
     cited = ex.explicit_laws(read_table(s, d, "documents", "doc_id", "text"), ["doc_id"], "text", ex.citation_lookup(laws, "citation")).select(F.col("doc_id").alias("doc"), F.col("citation").alias("item"))
+    cited = materialise(co.citing_sets(cited.withColumn("item", t.citation_book(F.col("item"))), "doc", "item"))
     # from here on items, books and domains are numbers, in the order of their names
     items = laws.select("citation").unionByName(_gold(s, d).select(F.col("item").alias("citation"))).where("citation IS NOT NULL").distinct()
     items = sc.ordinals(items, "citation").select(F.col("ord").alias("id"), F.col("citation").alias("name"), t.citation_book(F.col("citation")).alias("book_name"))
-    named = [items.select("book_name"), laws.select("source_book"), laws.select(F.explode(t.split_list(F.col("target_books"))))]
+    named = [items.select("book_name"), cited.select("item"), laws.select("source_book"), laws.select(F.explode(t.split_list(F.col("target_books"))))]
     numbers = sc.ordinals(reduce(DataFrame.unionByName, [n.toDF("book_name") for n in named]).where("book_name IS NOT NULL").distinct(), "book_name").select("book_name", F.col("ord").alias("book"))
     items = materialise(items.join(numbers, "book_name", "left").select("id", "name", "book"))
     number = lambda df, c, by, name, to: df.join(by.select(F.col(name).alias(c), F.col(to).alias("__n")), c).withColumn(c, F.col("__n")).drop("__n")
@@ -589,11 +590,13 @@ def law_cascade(s, d):
     subs, config = _subs(s, d), lc.CascadeConfig()
     ranked = dense_rrf_lists(subs, "query_id", "sub_row_id", "zembed_embedding", as_item(_laws_v(s, d), "citation"), "citation", "embedding", config.per_subquery, config.rrf_k, 200)
     near = dense_rrf_lists(subs, "query_id", "sub_row_id", "zembed_embedding", domains, "id", "centroid", 10)
-    networks = [as_book(as_book(n, "src"), "dst") for n in (_network(s, d), _book_network(_gold(s, d)), _book_network(cited))]
-    graph = as_item(as_item(_whole_edges(s, d), "src"), "dst")
+    # each step is cut off, else one plan of hundreds of exchanges fills the driver's memory
+    exact = materialise(as_item(exact.select("query_id", "citation"), "citation").withColumnRenamed("citation", "id"))
+    books = materialise(as_book(books, "book"))
+    networks = [as_book(as_book(n, "src"), "dst") for n in (_network(s, d), _book_network(_gold(s, d)), _network_of(cited))]
+    graph = materialise(as_item(as_item(_whole_edges(s, d), "src"), "dst"))
     sets = materialise(as_item(_sets(s, d), "item"))
     pairs = materialise(co.pair_counts(sets))
-    exact, books = as_item(exact.select("query_id", "citation"), "citation").withColumnRenamed("citation", "id"), as_book(books, "book")
     out = cascade_blocks.cascade(ranked, near, exact, books, "query_id", items, domains, networks, graph, co.confidence(pairs, co.support(sets, 2)), co.tfidf(pairs, sets), config)
     return out.select("query_id", "citation", "rank", r6("score"))
 
